@@ -1,6 +1,7 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
 from bitloom.llm.media_columns import op10_media_columns
+from bitloom.llm.secret_scan import op1_secret_scan
 
-QUERIES: dict = {"op10_media_columns": op10_media_columns}
+QUERIES: dict = {"op1_secret_scan": op1_secret_scan, "op10_media_columns": op10_media_columns}
 ORACLES: dict = {}
