@@ -3,6 +3,7 @@
 from bitloom.llm.best_fit_packing import op4_best_fit_packing
 from bitloom.llm.media_columns import op10_media_columns
 from bitloom.llm.secret_scan import op1_secret_scan
+from bitloom.llm.toxicity import op7_toxicity
 
-QUERIES: dict = {"op1_secret_scan": op1_secret_scan, "op4_best_fit_packing": op4_best_fit_packing, "op10_media_columns": op10_media_columns}
+QUERIES: dict = {"op1_secret_scan": op1_secret_scan, "op4_best_fit_packing": op4_best_fit_packing, "op7_toxicity": op7_toxicity, "op10_media_columns": op10_media_columns}
 ORACLES: dict = {}
