@@ -1,9 +1,10 @@
 """The queries of this package, and the SQL of those that SQL can express."""
 
 from bitloom.llm.best_fit_packing import op4_best_fit_packing
+from bitloom.llm.decontamination import op9_decontamination
 from bitloom.llm.media_columns import op10_media_columns
 from bitloom.llm.secret_scan import op1_secret_scan
 from bitloom.llm.toxicity import op7_toxicity
 
-QUERIES: dict = {"op1_secret_scan": op1_secret_scan, "op4_best_fit_packing": op4_best_fit_packing, "op7_toxicity": op7_toxicity, "op10_media_columns": op10_media_columns}
+QUERIES: dict = {"op1_secret_scan": op1_secret_scan, "op4_best_fit_packing": op4_best_fit_packing, "op7_toxicity": op7_toxicity, "op9_decontamination": op9_decontamination, "op10_media_columns": op10_media_columns}
 ORACLES: dict = {}
