@@ -2,10 +2,11 @@
 
 from bitloom.llm.best_fit_packing import op4_best_fit_packing
 from bitloom.llm.decontamination import op9_decontamination
+from bitloom.llm.html_extraction import op3_html_extraction
 from bitloom.llm.media_columns import op10_media_columns
 from bitloom.llm.secret_scan import op1_secret_scan
 from bitloom.llm.substring_dedup import op8_substring_dedup
 from bitloom.llm.toxicity import op7_toxicity
 
-QUERIES: dict = {"op1_secret_scan": op1_secret_scan, "op4_best_fit_packing": op4_best_fit_packing, "op7_toxicity": op7_toxicity, "op8_substring_dedup": op8_substring_dedup, "op9_decontamination": op9_decontamination, "op10_media_columns": op10_media_columns}
+QUERIES: dict = {"op1_secret_scan": op1_secret_scan, "op3_html_extraction": op3_html_extraction, "op4_best_fit_packing": op4_best_fit_packing, "op7_toxicity": op7_toxicity, "op8_substring_dedup": op8_substring_dedup, "op9_decontamination": op9_decontamination, "op10_media_columns": op10_media_columns}
 ORACLES: dict = {}
