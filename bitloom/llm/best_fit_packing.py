@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -29,7 +30,7 @@ from bitloom.llm.tables import arrow_schema, columns, map_rows, table, written
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker keeps; beyond it, it starts anew. It bounds memory, not results.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 #: Pieces to a hash bucket, about: what one task numbers at once.
 BUCKET_PIECES = 200_000
 
@@ -40,6 +41,10 @@ PLAIN = re.compile(r"[!-~¡-¬®-ɏ]+")
 ODD = re.compile(r"[\x1c-\x1f]|<\|")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of texts as little-endian bytes, equal to the tokenizer's own, with the ids of words remembered."""
 
@@ -54,20 +59,28 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    @staticmethod
+    def _split(word: str) -> list[str]:
+        if word.isalpha():
+            return [word.lower()]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1]]
+        return PIECES.findall(word.lower())
+
     def _learn(self, words: set[str]) -> None:
-        split = {w: PIECES.findall(w.lower()) for w in words if PLAIN.fullmatch(w)}
+        split = {w: self._split(w) for w in words if PLAIN.fullmatch(w)}
         new = [p for p in {p for ps in split.values() for p in ps} if p not in self.parts]
         for part, found in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(found.ids, "<u4").tobytes()
+            self.parts[part] = _packed(found.ids)
         for word, ps in split.items():
             self.words[word] = b"".join(map(self.parts.__getitem__, ps))
         rest = [w for w in words if w not in split]
         for word, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
+            self.words[word] = _packed(found.ids)
 
     def ids(self, text: str) -> bytes:
         if ODD.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
         words = text.split()
         if len(self.words) + len(self.parts) > 2 * KEPT_WORDS:
             self.words, self.parts = {}, {}
