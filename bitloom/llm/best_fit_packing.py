@@ -61,11 +61,12 @@ class Encoder:
 
     @staticmethod
     def _split(word: str) -> list[str]:
+        word = word.lower()
         if word.isalpha():
-            return [word.lower()]
+            return [word]
         if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return [word[:-1].lower(), word[-1]]
-        return PIECES.findall(word.lower())
+            return [word[:-1], word[-1]]
+        return PIECES.findall(word)
 
     def _learn(self, words: set[str]) -> None:
         split = {w: self._split(w) for w in words if PLAIN.fullmatch(w)}
