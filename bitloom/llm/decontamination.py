@@ -28,8 +28,8 @@ BLOCK_BYTES = 16 << 20
 
 # A-Z to lower case, digits, letters and bytes of other alphabets as they are, all else to spaces.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-INDEX = "shard long, terms binary, counts binary, positions binary, doc_ids array<long>, n_words array<int>"
-MATCHES = "shard long, slot int, doc_id long, n_words int, hits array<int>, items array<string>"
+INDEX = "shard long, terms binary, counts binary, positions binary, doc_ids array<long>, n_words array<int>, marks array<long>"
+MATCHES = "shard long, slot int, doc_id long, n_words int, mark long, hits array<int>, items array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,7 +47,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None, id_col:
         free = shared.value is None
         known, vocabulary = ({}, []) if free else shared.value
         parts, lengths = [], []
-        for _, text in rows:
+        for _, text, _ in rows:
             found = words(text)
             lengths.append(len(found))
             ids = [known.setdefault(w, len(known) + 1) for w in found] if free else list(map(known.get, found, [0] * len(found)))
@@ -61,22 +61,23 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None, id_col:
         names = list(known) if free else vocabulary
         terms = b" ".join(names[k - 1] for k in ids[firsts].tolist())
         gaps = np.diff(positions, prepend=0).astype("<i4")
-        return record_batch([(number, terms, counts.astype("<i4").tobytes(), gaps.tobytes(), [k for k, _ in rows], lengths)], schema)
+        return record_batch([(number, terms, counts.astype("<i4").tobytes(), gaps.tobytes(), [k for k, _, _ in rows], lengths, [m for _, _, m in rows])], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, rows, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                for key, text in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
-                    rows.append((key, text))
-                    size += len(text or "")
+                for row in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
+                    rows.append(row)
+                    size += len(row[1] or "")
                     if size >= SHARD_CHARS:
                         yield shard(number, rows)
                         number, rows, size = number + 1, [], 0
         if rows:
             yield shard(number, rows)
 
-    return columns(docs, key=f"{id_col}:long", text=text_col).mapInArrow(run, INDEX)
+    own = columns(docs, key=f"{id_col}:long", text=text_col).withColumn("mark", F.xxhash64("text"))
+    return own.mapInArrow(run, INDEX)
 
 
 class Shard:
@@ -159,7 +160,7 @@ def search(index: DataFrame, windows: dict[tuple[bytes, ...], list[str]], slop:
     shared = index.sparkSession.sparkContext.broadcast(asked)  # a block of the benchmark: BLOCK_BYTES
     schema = arrow_schema(MATCHES)
 
-    def matches(number: int, terms: bytes, counts: bytes, positions: bytes, doc_ids: list, n_words: list[int]) -> list[tuple]:
+    def matches(number: int, terms: bytes, counts: bytes, positions: bytes, doc_ids: list, n_words: list[int], marks: list[int]) -> list[tuple]:
         shard = Shard(terms, counts, positions, n_words)
         hit = np.zeros(int(shard.bases[-1]) + 1, bool)
         items: dict[int, set[str]] = {}
@@ -175,7 +176,7 @@ def search(index: DataFrame, windows: dict[tuple[bytes, ...], list[str]], slop:
                     hit[starts] = True
                 for slot in set((np.searchsorted(shard.bases, starts, "right") - 1).tolist()):
                     items.setdefault(slot, set()).update(keys)
-        return [(number, slot, key, n, np.flatnonzero(hit[base : base + n]).tolist() if slot in items else [], sorted(items.get(slot, ()))) for slot, (key, n, base) in enumerate(zip(doc_ids, n_words, shard.bases.tolist(), strict=False))]
+        return [(number, slot, key, n, mark, np.flatnonzero(hit[base : base + n]).tolist() if slot in items else [], sorted(items.get(slot, ()))) for slot, (key, n, mark, base) in enumerate(zip(doc_ids, n_words, marks, shard.bases.tolist(), strict=False))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +189,7 @@ def search(index: DataFrame, windows: dict[tuple[bytes, ...], list[str]], slop:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", size: int = WINDOW, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_words, hits (offsets of hit words), items (ids of items with matching windows, sorted as strings).
+    """Per row of docs: doc_id, n_words, hits (offsets of hit words), items (ids of items with matching windows, sorted as strings), mark (xxhash64 of the text).
 
     Items with a null id are left out; null and empty texts have no words and match nothing; repeated rows give repeated rows.
     """
@@ -207,8 +208,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_i
         found = found.unionAll(search(index, block(k), slop))
     if blocks > 1:
         merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        found = found.groupBy("shard", "slot", "doc_id", "n_words").agg(merged("hits"), merged("items"))
-    return found.select("doc_id", "n_words", "hits", "items")
+        found = found.groupBy("shard", "slot", "doc_id", "n_words", "mark").agg(merged("hits"), merged("items"))
+    return found.select("doc_id", "n_words", "hits", "items", "mark")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs without any word in a benchmark window, in all their columns. docs: doc_id, text and any others."""
+    found = contamination(docs, benchmark).where(F.size("hits") > 0).select(F.col("doc_id").alias("key"), "mark").distinct()
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["key"]) & (F.xxhash64(docs["text"].cast("string")) == found["mark"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from bitloom.llm.block_join import ENTRIES, SERVED, TOLD, distinct_keys, first_p
 from bitloom.llm.components import components
 from bitloom.llm.key_exchange import PAIR, blocks_for, contains, in_blocks, per_block
 from bitloom.llm.substring_dedup import rolled, split, word_hashes
-from bitloom.llm.tables import columns, map_rows, scan_bytes, table, written
+from bitloom.llm.tables import arrow_schema, columns, scan_bytes, table, written
 
 WORDS = 5
 TREES, DEPTH = 24, 6
@@ -160,32 +160,58 @@ def links(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
     return verified(tiles, per_block(own, requests(tiles), serve, SERVED), MARK, _linked, "u binary, v binary, n long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
-    """Per row: doc_id, class_id (the least id of all documents connected by copies and links), text_id (the least id with the same shingles), n_copies (rows with the
-    same shingles), n_links (different shingle sets of Jaccard similarity 0.8 or more).
+def _with_key(df: DataFrame) -> DataFrame:
+    """df's columns and u, the key of the shingle set of its column `text`."""
+    schema = arrow_schema(", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "u binary"]))
+    at = df.columns.index("text")
 
-    Null and empty texts, and those of white space alone, have no shingles: they are copies of each other and have no links. Null ids count as greater than all
-    others; a class that has only null ids has a null class_id.
-    """
-    own = columns(docs, key=f"{id_col}:long", text=text_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(shingles(text.as_py())) for text in batch.column(at)]
+            packed = [a.to_bytes(8, "big") + b.to_bytes(8, "big") for a, b in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], schema=schema)
 
-    def make():
-        def each(key: int | None, text: str | None) -> Iterator[tuple]:
-            a, b = set_key(shingles(text))
-            yield key, a.to_bytes(8, "big") + b.to_bytes(8, "big")
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "u binary"]))
 
-        return each
 
-    sets = written(map_rows(own, make, "key long, u binary"), "sets")
+def _known(own: DataFrame, sets: DataFrame, block_bytes: int | None) -> DataFrame:
+    """Per class: u, class_id, text_id, n_copies, n_links, and lead, the class that stands for the group. own: key, text; sets: key, u."""
     classes = sets.groupBy("u").agg(F.min("key").alias("text_id"), F.count("*").alias("n_copies"))
     found = written(links(own, block_bytes), "found")
     counts = found.where("v IS NULL").groupBy("u").agg(F.sum("n").alias("n_links"))
     roots = components(found.where("v IS NOT NULL")).withColumnRenamed("node", "u")
     known = classes.join(roots, "u", "left").join(counts, "u", "left").withColumn("root", F.coalesce("root", "u"))
-    least = known.groupBy("root").agg(F.min("text_id").alias("class_id"))
-    known = known.join(least, "root").select("u", "class_id", "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    least = known.groupBy("root").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "u")).alias("least"))
+    known = known.join(least, "root")
+    return known.select("u", F.col("least.text_id").alias("class_id"), "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("u") == F.col("least.u")).alias("lead"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
+    """Per row: doc_id, class_id (the least id of all documents connected by copies and links), text_id (the least id with the same shingles), n_copies (rows with the
+    same shingles), n_links (different shingle sets of Jaccard similarity 0.8 or more).
+
+    Null and empty texts, and those of white space alone, have no shingles: they are copies of each other and have no links. Null ids count as greater than all
+    others; a class that has only null ids has a null class_id.
+    """
+    own = columns(docs, key=f"{id_col}:long", text=text_col)
+    sets = written(_with_key(own).select("key", "u"), "sets")
+    known = _known(own, sets, block_bytes)
     return sets.join(known, "u").select(F.col("key").alias("doc_id"), "class_id", "text_id", "n_copies", "n_links")
 
 
+def representatives(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """One row of docs for each group of near-duplicates: the one with the least doc_id. docs: doc_id, text and any others, which stay as they are."""
+    own = columns(docs, key="doc_id:long", text="text")
+    sets = written(_with_key(own).select("key", "u"), "sets")
+    leads = _known(own, sets, block_bytes).where("lead").select("u", "text_id")
+    chosen = sets.join(leads, "u").where("key <=> text_id").select("key", "u").distinct()
+    often = sets.groupBy("key").count().where("count > 1").select("key")  # ids of several rows
+    once = written(chosen.join(often, chosen["key"].eqNullSafe(often["key"]), "left_anti"), "once")
+    kept = docs.join(once, docs["doc_id"].cast("long").eqNullSafe(once["key"]), "left_semi")
+    rest = _with_key(docs.join(often, docs["doc_id"].cast("long").eqNullSafe(often["key"]), "left_semi"))
+    rest = rest.join(chosen, rest["doc_id"].cast("long").eqNullSafe(chosen["key"]) & (rest["u"] == chosen["u"]), "left_semi").dropDuplicates(["doc_id", "u"])
+    return kept.unionByName(rest.drop("u"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

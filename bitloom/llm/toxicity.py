@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +155,19 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_rows(columns(docs, key=f"{id_col}:long", text=text_col), make, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is under the limit, in all their columns. docs: text and any others."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([score(text.as_py() or "") < limit for text in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = scored(docs, train(docs, table(spark, sf_dir, "labels")))
