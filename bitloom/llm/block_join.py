@@ -13,15 +13,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from bitloom.llm.key_exchange import PAIR, alike, per_block, ranked
+from bitloom.llm.key_exchange import PAIR, alike, ranked
 from bitloom.llm.tables import arrow_schema, map_rows, record_batch
 
 ENTRIES = "bucket int, block int, records binary"
 TILES = "lo int, hi int, pairs binary"
 TOLD = "block int, kind string, lo int, hi int, data binary"
-SERVED = "lo int, hi int, side int, numbers binary, sizes binary, members binary, marks binary"
+SERVED = "lo int, hi int, side int, numbers binary, sizes binary, members binary, marks binary, pairs binary"
 COUPLE = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 #: Pairs looked at together in one array.
 CHUNK = 1 << 21
@@ -105,16 +104,12 @@ def _distinct(tile: np.ndarray, couple: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def requests(tiles: DataFrame) -> DataFrame:
-    """What each block is asked for: TOLD rows of kind "ask", with the numbers of items."""
+    """What each block is asked for: TOLD rows of kind "ask", with the pairs."""
 
     def make():
         def each(lo: int, hi: int, pairs: bytes) -> Iterator[tuple]:
-            couple = np.frombuffer(pairs, COUPLE)
-            if lo == hi:
-                yield lo, "ask", lo, hi, np.unique(np.concatenate([couple["lo"], couple["hi"]])).tobytes()
-            else:
-                yield lo, "ask", lo, hi, np.unique(couple["lo"]).tobytes()
-                yield hi, "ask", lo, hi, np.unique(couple["hi"]).tobytes()
+            for block in {lo, hi}:
+                yield block, "ask", lo, hi, pairs
 
         return each
 
@@ -122,29 +117,31 @@ def requests(tiles: DataFrame) -> DataFrame:
 
 
 def asked(told: pa.Table) -> dict[tuple[int, int], np.ndarray]:
-    """From a block's requests, the numbers of items by tile."""
+    """From what a block was told, the distinct pairs of each tile."""
     out: dict[tuple[int, int], list[np.ndarray]] = {}
     for kind, lo, hi, data in zip(*(told.column(c).to_pylist() for c in ("kind", "lo", "hi", "data")), strict=True):
         if kind == "ask":
-            out.setdefault((lo, hi), []).append(np.frombuffer(data, "<u4"))
-    return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
+            out.setdefault((lo, hi), []).append(np.frombuffer(data, COUPLE))
+    return {k: _distinct(np.zeros(sum(map(len, v)), np.int64), np.concatenate(v))[1] for k, v in out.items()}
 
 
 def served(block: int, told: pa.Table, first: np.ndarray, size: np.ndarray, members: np.ndarray, marks: np.ndarray) -> list[tuple]:
-    """Answers to requests: item k's members are members[first[k] : first[k] + size[k]], sorted; marks says what else is known of it."""
+    """Answers to requests: item k's members are members[first[k] : first[k] + size[k]], sorted; marks says what else is known of it. The lower block passes the pairs on."""
     rows = []
-    for (lo, hi), numbers in asked(told).items():
+    for (lo, hi), couple in asked(told).items():
+        own = [couple[side] for side, other in (("lo", lo), ("hi", hi)) if other == block]
+        numbers = np.unique(np.concatenate(own))
         n = size[numbers]
         at = np.repeat(first[numbers] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        rows.append((lo, hi, int(block != lo), numbers.astype("<u4").tobytes(), n.astype("<u4").tobytes(), members[at].astype("<u8").tobytes(), marks[numbers].tobytes()))
+        rows.append((lo, hi, int(block != lo), numbers.tobytes(), n.astype("<u4").tobytes(), members[at].astype("<u8").tobytes(), marks[numbers].tobytes(), couple.tobytes() if block == lo else None))
     return rows
 
 
 class Side:
     """One side's items of a tile."""
 
-    def __init__(self, row: tuple | None, kind: np.dtype):
-        numbers, sizes, members, marks = row if row else (b"", b"", b"", b"")
+    def __init__(self, row: list, kind: np.dtype):
+        numbers, sizes, members, marks, _ = row
         self.numbers = np.frombuffer(numbers, "<u4")
         self.sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
         self.members = np.frombuffer(members, "<u8")
@@ -168,22 +165,21 @@ def overlaps(a: Side, b: Side, couple: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return left, right, common
 
 
-def verified(tiles: DataFrame, answers: DataFrame, kind: np.dtype, each: Callable[[np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
+def verified(answers: DataFrame, kind: np.dtype, each: Callable[[np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
     """each(marks of one item, marks of the other) over the pairs of a tile that are similar. Sets are never empty."""
     kinds = arrow_schema(schema)
 
-    def tile(asked_pairs: pa.Table, given: pa.Table) -> pa.Table:
-        couple = np.concatenate([np.frombuffer(x.as_buffer(), COUPLE) for x in asked_pairs.column("pairs")]) if asked_pairs.num_rows else np.zeros(0, COUPLE)
-        _, couple = _distinct(np.zeros(len(couple), np.int64), couple)
-        rows = {side: row for side, *row in zip(*(given.column(c).to_pylist() for c in ("side", "numbers", "sizes", "members", "marks")), strict=True)}
-        a = Side(rows.get(0), kind)
+    def tile(given: pa.Table) -> pa.Table:
+        rows = {side: row for side, *row in zip(*(given.column(c).to_pylist() for c in ("side", "numbers", "sizes", "members", "marks", "pairs")), strict=True)}
+        couple = np.frombuffer(rows[0][-1], COUPLE)
+        a = Side(rows[0], kind)
         b = Side(rows[1], kind) if 1 in rows else a
         left, right, common = overlaps(a, b, couple)
         good = common >= needed(a.sizes[left], b.sizes[right])
         out = each(a.marks[left[good]], b.marks[right[good]])
         return pa.Table.from_batches([record_batch(out, kinds)] if out else [], kinds)
 
-    return tiles.groupBy("lo", "hi").cogroup(answers.groupBy("lo", "hi")).applyInArrow(tile, schema)
+    return answers.groupBy("lo", "hi").applyInArrow(tile, schema)
 
 
 FIRSTS = np.dtype([("key", PAIR), ("order", "<i8"), ("line", "<i4")])

@@ -19,10 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.block_join import ENTRIES, SERVED, TILES, TOLD, distinct_keys, first_parcels, later, needed, paired, parcels, prefix_length, requests, served, told_keys, verified
+from bitloom.llm.block_join import ENTRIES, SERVED, TOLD, distinct_keys, first_parcels, later, needed, paired, parcels, prefix_length, requests, served, told_keys, verified
 from bitloom.llm.key_exchange import PAIR, blocks_for, contains, per_block
 from bitloom.llm.substring_dedup import word_hashes
-from bitloom.llm.tables import arrow_schema, record_batch, scan_bytes, table, written
+from bitloom.llm.tables import arrow_schema, record_batch, scan_bytes, table
 
 #: Places of the table of word counts: 4 MB as levels.
 PLACES = 1 << 22
@@ -145,20 +145,19 @@ def _losers(x: np.ndarray, y: np.ndarray) -> list[tuple]:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
-    """All rows and columns of docs, and n_lines, removed (numbers of the removed lines), kept_text (the lines left, joined by line breaks).
+    """All rows and columns of docs (the id as a long, the text as a string), and n_lines, removed (numbers of the removed lines), kept_text (the lines left, joined by line breaks).
 
     A line is what stands between line breaks. A null text has no lines and stays null, an empty one has one, empty, line. A null id comes after all
     others; lines of equal place, in rows with one id, are ordered by their rows' blocks, in one block either may stay.
     """
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    source = docs.toDF(*names)
-    key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    own = source.withColumns({"key": F.col(key).cast("long"), "text": F.col(text).cast("string")})
+    names = [{id_col: "key", text_col: "text"}.get(c, f"c{k}") for k, c in enumerate(docs.columns)]
+    own = docs.toDF(*names).withColumns({"key": F.col("key").cast("long"), "text": F.col("text").cast("string")})
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
     n = blocks_for(scan_bytes(own, "text"), *([block_bytes] if block_bytes else []))
+    # all steps read one exchange of the documents
     own = own.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("int"))
-    plain = own.select("key", "text", "block")
     # PLACES bytes, whatever the corpus
-    shared = docs.sparkSession.sparkContext.broadcast(rarity(plain))
+    shared = docs.sparkSession.sparkContext.broadcast(rarity(own))
 
     def send_keys(block: int, rows: pa.Table, _: None) -> list[tuple]:
         found = Lines(_rows(rows))
@@ -179,7 +178,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         marks["key"], marks["order"], marks["line"], marks["block"] = found.item_keys, found.order[at], found.line[at], block
         return served(block, told, found.first[at], found.n[at], found.hashes, marks)
 
-    schema = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in names) + ", n_lines int, removed array<int>, kept_text string"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", n_lines int, removed array<int>, kept_text string"
 
     def cut(block: int, rows: pa.Table, told: pa.Table) -> list[tuple]:
         found = Lines(_rows(rows))
@@ -194,10 +193,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append((*values, 0 if was else len(lines), np.flatnonzero(mine).tolist(), None if was else "\n".join([x for x, y in zip(lines, mine.tolist(), strict=True) if not y])))
         return out
 
-    again = written(later(per_block(plain, None, send_keys, ENTRIES)), "later")
-    tiles = written(paired(per_block(plain, again, send_postings, ENTRIES), POSTING, _may_match), "tiles")
-    answers = per_block(plain, requests(tiles), serve, SERVED)
-    near = verified(tiles, answers, MARK, _losers, TOLD)
+    again = later(per_block(own, None, send_keys, ENTRIES))
+    tiles = paired(per_block(own, again, send_postings, ENTRIES), POSTING, _may_match)
+    near = verified(per_block(own, requests(tiles), serve, SERVED), MARK, _losers, TOLD)
     found = per_block(own, again.unionAll(near), cut, schema)
     return found.toDF(*docs.columns, "n_lines", "removed", "kept_text")
 

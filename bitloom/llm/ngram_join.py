@@ -156,8 +156,8 @@ def links(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
         return served(block, told, first, found.n, np.concatenate(found.sets), marks)
 
     again = later(per_block(own, None, send_keys, ENTRIES))
-    tiles = written(paired(per_block(own, again, send_prefixes, ENTRIES), RECORD, lambda x, y: np.ones(len(x), bool)), "tiles")
-    return verified(tiles, per_block(own, requests(tiles), serve, SERVED), MARK, _linked, "u binary, v binary, n long")
+    tiles = paired(per_block(own, again, send_prefixes, ENTRIES), RECORD, lambda x, y: np.ones(len(x), bool))
+    return verified(per_block(own, requests(tiles), serve, SERVED), MARK, _linked, "u binary, v binary, n long")
 
 
 def _with_key(df: DataFrame) -> DataFrame:
