@@ -1,4 +1,6 @@
 """Registered queries, each (spark, sf_dir) -> DataFrame, and the DuckDB statement of each."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from bitloom.plans import tensor_queries
+
+QUERIES: dict = {**tensor_queries.QUERIES}
+ORACLES: dict = {**tensor_queries.ORACLES}
