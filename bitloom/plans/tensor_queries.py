@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bitloom.functions import words as W
 from bitloom.operators import accounting as A
 from bitloom.operators import groups as G
+from bitloom.operators.codec_pages import coded, containers, page_rows
 from bitloom.plans import sql_parts as P
 
 QUERIES: dict = {}
@@ -330,3 +331,32 @@ def byte_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ledger_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_ledger(spark, sf_dir).where("NOT conflict").rollup("category").agg(F.sum("allocated").alias("allocated"), F.sum("logical").alias("logical"))
+
+
+def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(page_rows(_groups(spark, sf_dir, ("scale_w", "bias_w", "w", "q", "predicted"))))
+
+
+@query("codec_sizes", f"WITH {P.PAGES} SELECT label, page_id, \"values\"::INTEGER AS n_values, refinement_bytes::INTEGER AS refinement_bytes, palette_bytes::INTEGER AS palette_bytes, true AS exact FROM page")
+def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that the codecs really write, held against the sizes by formula."""
+    return _blobs(spark, sf_dir).select("label", "page_id", "n_values", F.length("refinement").alias("refinement_bytes"), F.length("palette").alias("palette_bytes"), "exact")
+
+
+@query("compressed_pages")
+def compressed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes under the compressing codecs, and what they come to with the quantised form beside them."""
+    side = F.col("n_values") / 64 * 36
+    return _blobs(spark, sf_dir).select("label", "page_id", F.length("fields").alias("field_bytes"), F.length("xor").alias("xor_bytes"), (side + F.length("fields")).cast("long").alias("dual_field_bytes"), "exact")
+
+
+@query("stream_containers")
+def stream_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers(_blobs(spark, sf_dir)).select("label", "pages", F.length("container").alias("container_bytes"), "side_sha256", "exact")
+
+
+@query("compressed_projections")
+def compressed_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projections that rest on compressed sizes."""
+    sizes = _blobs(spark, sf_dir).groupBy(F.col("label").alias("prompt")).agg(F.sum(F.length("fields")).alias("zstd_bytes"), F.sum(F.length("fields") + F.col("n_values") / 64 * 36).cast("long").alias("dual_zstd_bytes"))
+    return A.projections(_prompts(_pages(spark, sf_dir)).join(sizes, "prompt"), tuple(s for s in A.SCENARIOS if "zstd" in s[0]))

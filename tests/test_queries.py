@@ -14,3 +14,9 @@ def con():
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_statement(spark, con, name):
     assert compare(registry.QUERIES[name](spark, SF), con, registry.ORACLES[name]) > 0
+
+
+@pytest.mark.parametrize("name", ["codec_sizes", "compressed_pages", "stream_containers"])
+def test_every_page_is_exact(spark, name):
+    rows = registry.QUERIES[name](spark, SF).collect()
+    assert rows and all(r.exact for r in rows)
