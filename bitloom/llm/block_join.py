@@ -23,7 +23,7 @@ TOLD = "block int, kind string, lo int, hi int, data binary"
 SERVED = "lo int, hi int, side int, numbers binary, sizes binary, members binary, marks binary, pairs binary"
 COUPLE = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 #: Pairs looked at together in one array.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Jaccard similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.block_join import ENTRIES, SERVED, TOLD, distinct_keys, first_parcels, later, needed, paired, parcels, prefix_length, requests, served, told_keys, verified
 from bitloom.llm.key_exchange import PAIR, blocks_for, contains, per_block
-from bitloom.llm.substring_dedup import word_hashes
 from bitloom.llm.tables import arrow_schema, record_batch, scan_bytes, table
+from bitloom.llm.word_hashes import Words, mixed
 
 #: Places of the table of word counts: 4 MB as levels.
 PLACES = 1 << 22
@@ -32,44 +32,58 @@ MARK = np.dtype([("key", PAIR), ("order", "<i8"), ("line", "<i4"), ("block", "<i
 LAST = np.iinfo(np.int64).max
 
 
-def _mixed(x: np.ndarray, by: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(by)
-        return x ^ (x >> np.uint64(29))
-
-
 class Lines:
     """The lines of a block of documents, as distinct words of each line: line numbers and hashes, sorted by both."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
-        texts = [(text or "").split("\n") for _, text in rows]
-        self.texts = texts
-        words = [[line.encode().split() for line in lines] for lines in texts]
-        sizes = np.array([len(w) for lines in words for w in lines], np.int64)
-        hashes = word_hashes([w for lines in words for ws in lines for w in ws])[0]
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((hashes, owner))
-        owner, hashes = owner[order], hashes[order]
+        raw = [(text or "").encode() for _, text in rows]
+        found = Words(raw, 1)
+        owner, hashes = found.line, found.hashes[0]
+        counts = np.array([t.count(b"\n") + 1 for t in raw], np.int64)
+        n_lines = int(counts.sum())
+        owner, hashes = _sorted(owner, hashes)
         fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])]) if len(owner) else np.zeros(0, bool)
         self.owner, self.hashes = owner[fresh], hashes[fresh]
         #: of each line: number of distinct words, first of them, key of the set, order of its document, number in it
-        self.n = np.bincount(self.owner, minlength=len(sizes))
-        self.first = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(self.hashes, by))]) for by in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-        self.keys = np.zeros(len(sizes), PAIR)
+        self.n = np.bincount(self.owner, minlength=n_lines)
+        self.first = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64) if n_lines else np.zeros(0, np.int64)
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(self.hashes, by))]) for by in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+        self.keys = np.zeros(n_lines, PAIR)
         for name, s in zip(("a", "b"), sums, strict=True):
             self.keys[name] = s[self.first + self.n] - s[self.first]
-        self.order = np.repeat(np.array([LAST if k is None else k for k, _ in rows], np.int64), [len(x) for x in texts])
-        self.line = np.concatenate([np.arange(len(x)) for x in texts]) if texts else np.zeros(0, np.int64)
+        self.order = np.repeat(np.array([LAST if k is None else k for k, _ in rows], np.int64), counts)
+        self.line = np.arange(n_lines) - np.repeat(np.cumsum(counts) - counts, counts)
         # distinct sets of the block, by key; lines without words are none
         full = np.flatnonzero(self.n)
         places, item = distinct_keys(self.keys[full], self.order[full], self.line[full])
         self.item_line = full[places]
-        self.item = np.full(len(sizes), -1)
+        self.item = np.full(n_lines, -1)
         self.item[full] = item
         self.item_keys = self.keys[self.item_line]
 
 
+def _sorted(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words by line and hash. A line's number and the upper bits of the hash are one sorting key wherever that is enough."""
+    if len(owner) and owner[-1] < 1 << 20:
+        order = np.argsort((owner.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
+        sorted_owner, sorted_hashes = owner[order], hashes[order]
+        if not ((sorted_owner[1:] == sorted_owner[:-1]) & (sorted_hashes[1:] < sorted_hashes[:-1])).any():
+            return sorted_owner, sorted_hashes
+    order = np.lexsort((hashes, owner))
+    return owner[order], hashes[order]
+
+
+def _by_rarity(owner: np.ndarray, level: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The order by owner, level and hash, by one sorting key where the hashes' upper bits are enough."""
+    if len(owner) and owner[-1] < 1 << 20:
+        key = (owner.astype(np.uint64) << np.uint64(44)) | (level.astype(np.uint64) << np.uint64(36)) | (hashes >> np.uint64(28))
+        order = np.argsort(key)
+        key = key[order]
+        if not (key[1:] == key[:-1]).any():
+            return order
+    return np.lexsort((hashes, level, owner))
+
+
 def _rows(own: pa.Table) -> list[tuple[int | None, str | None]]:
     return list(zip(own.column("key").to_pylist(), own.column("text").to_pylist(), strict=True))
 
@@ -81,9 +95,9 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(PLACES, np.uint32)
         for batch in batches:
-            for text in batch.column(0):
-                hashes = word_hashes((text.as_py() or "").encode().split())[0]
-                np.add.at(total, (hashes % np.uint64(PLACES)).astype(np.int64), 1)
+            for start in range(0, batch.num_rows, 256):
+                hashes = Words([(t or "").encode() for t in batch.column(0).slice(start, 256).to_pylist()], 1).hashes[0]
+                np.add.at(total, (hashes % np.uint64(PLACES)).astype(np.int64), np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1)
         if total.any():
             yield record_batch([(k, pack.compress(part.tobytes())) for k, part in enumerate(np.split(total, SLICES))], schema)
@@ -110,18 +124,18 @@ def postings(found: Lines, items: np.ndarray, levels: np.ndarray) -> tuple[np.nd
     owner, hashes = np.repeat(np.arange(len(items)), n), found.hashes[at]
     level = levels[(hashes % np.uint64(PLACES)).astype(np.int64)]
     bits = np.zeros((len(items), 2), np.uint64)
-    mixed = _mixed(hashes, 0xA24BAED4963EE407)
-    one = np.uint64(1) << (mixed & np.uint64(63))
-    half = ((mixed >> np.uint64(6)) & np.uint64(1)).astype(bool)
+    spread = mixed(hashes, 0xA24BAED4963EE407)
+    one = np.uint64(1) << (spread & np.uint64(63))
+    half = ((spread >> np.uint64(6)) & np.uint64(1)).astype(bool)
     starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.zeros(0, np.int64)
     for k, mask in enumerate((half, ~half)):
         bits[:, k] = np.bitwise_or.reduceat(np.where(mask, one, np.uint64(0)), starts) if len(starts) else 0
-    rank = np.lexsort((hashes, level, owner))
+    rank = _by_rarity(owner, level, hashes)
     place = np.arange(len(rank)) - np.repeat(starts, n)
     chosen = (place < np.repeat(prefix_length(n), n)) & (level[rank] > 0)
     rank, place = rank[chosen], place[chosen]
     records = np.zeros(len(rank), POSTING)
-    lead = _mixed(hashes[rank], 0x9FB21C651E98DF25)
+    lead = mixed(hashes[rank], 0x9FB21C651E98DF25)
     records["key"], records["item"], records["n"], records["at"] = (lead >> np.uint64(32)).astype(np.uint32), items[owner[rank]], n[owner[rank]], place
     records["bits"] = bits[owner[rank]]
     return records, lead & np.uint64(0xFFFFFFFF)
@@ -187,7 +201,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         is_first[found.item_line] = True
         lost = (found.item >= 0) & (~is_first | (gone[found.item] if len(gone) else False))
         out, k = [], 0
-        for values, lines, was in zip(zip(*(rows.column(c).to_pylist() for c in names), strict=True), found.texts, rows.column("text").is_null().to_pylist(), strict=True):
+        for values, text in zip(zip(*(rows.column(c).to_pylist() for c in names), strict=True), rows.column("text").to_pylist(), strict=True):
+            lines, was = (text or "").split("\n"), text is None
             mine = lost[k : k + len(lines)]
             k += len(lines)
             out.append((*values, 0 if was else len(lines), np.flatnonzero(mine).tolist(), None if was else "\n".join([x for x, y in zip(lines, mine.tolist(), strict=True) if not y])))

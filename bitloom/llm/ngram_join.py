@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from bitloom.llm.block_join import ENTRIES, SERVED, TOLD, distinct_keys, first_parcels, later, paired, parcels, requests, served, told_keys, verified
 from bitloom.llm.components import components
 from bitloom.llm.key_exchange import PAIR, blocks_for, contains, in_blocks, per_block
-from bitloom.llm.substring_dedup import rolled, split, word_hashes
+from bitloom.llm.substring_dedup import rolled
 from bitloom.llm.tables import arrow_schema, columns, scan_bytes, table, written
+from bitloom.llm.word_hashes import Words
 
 WORDS = 5
 TREES, DEPTH = 24, 6
@@ -50,12 +51,19 @@ def matched_depth(target: float = RECALL, similarity: float = SIMILARITY) -> int
     return depth
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; none if it has no words."""
-    found = split(text)
-    if not found:
-        return np.zeros(0, np.uint64)
-    return np.unique(rolled(word_hashes(found), min(words, len(found)), 0))
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """For each text, the sorted distinct hashes of its shingles; none if it has no words."""
+    found = Words([(t or "").encode() for t in texts], 1)
+    out = []
+    for k in range(len(texts)):
+        hashes = found.of(k)
+        n = hashes.shape[1]
+        out.append(np.unique(rolled(hashes, min(words, n), 0)) if n else np.zeros(0, np.uint64))
+    return out
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return shingle_sets([text])[0]
 
 
 def set_key(members: np.ndarray) -> tuple[int, int]:
@@ -87,7 +95,7 @@ class Classes:
     """The distinct shingle sets of a block of documents; texts without words are left out."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
-        sets = [(LAST if key is None else key, s) for key, text in rows if len(s := shingles(text))]
+        sets = [(LAST if key is None else key, s) for (key, _), s in zip(rows, shingle_sets([t for _, t in rows]), strict=True) if len(s)]
         keys = np.array([set_key(s) for _, s in sets], PAIR) if sets else np.zeros(0, PAIR)
         order = np.array([k for k, _ in sets], np.int64)
         places, _ = distinct_keys(keys, order, np.zeros(len(keys), np.int64))
@@ -167,9 +175,11 @@ def _with_key(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [set_key(shingles(text.as_py())) for text in batch.column(at)]
-            packed = [a.to_bytes(8, "big") + b.to_bytes(8, "big") for a, b in keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], schema=schema)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                keys = [set_key(s) for s in shingle_sets(part.column(at).to_pylist())]
+                packed = [a.to_bytes(8, "big") + b.to_bytes(8, "big") for a, b in keys]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packed, pa.binary())], schema=schema)
 
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "u binary"]))
 

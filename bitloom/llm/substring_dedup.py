@@ -12,41 +12,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from bitloom.llm.key_exchange import KEYS, PAIR, blocks_for, contains, in_blocks, opened, packed_keys, per_block, repeated
 from bitloom.llm.tables import columns, scan_bytes, table
+from bitloom.llm.word_hashes import Words
 
 WINDOW = 35
 # A perfect difference cover, each difference modulo the period once.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-#: Word hashes that a worker keeps; it bounds memory, not results.
-KEPT_WORDS = 1_000_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-class _Hashes(dict):
-    """128-bit hashes of words, as bytes, made on demand."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_128_digest(word)
-        return found
-
-
-_HASHES = _Hashes()
-
-
 def split(text: str | None) -> list[bytes]:
     """Words between ASCII white space, unchanged."""
     return (text or "").encode().split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """Two rows of 64-bit numbers."""
-    return np.ascontiguousarray(np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), "<u8").reshape(-1, 2).T)
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """Two rows of 64-bit numbers for a few words."""
+    return Words([b" ".join(words)]).hashes
 
 
 def rolled(hashes: np.ndarray, width: int, which: int) -> np.ndarray:
@@ -102,8 +87,8 @@ def window_keys(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW) ->
     return out
 
 
-def _texts(own: pa.Table) -> list[tuple[int | None, str | None]]:
-    return zip(own.column("key").to_pylist(), own.column("text").to_pylist(), strict=True)
+def _bytes(own: pa.Table) -> list[bytes]:
+    return [(t or "").encode() for t in own.column("text").to_pylist()]
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, block_bytes: int | None = None) -> DataFrame:
@@ -116,43 +101,45 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     own = in_blocks(own, n)
 
     def send_anchors(block: int, rows: pa.Table, _: None) -> list[tuple]:
-        found = [anchors(word_hashes(split(text)), window, period, cover)[1] for _, text in _texts(rows)]
-        return packed_keys(block, np.concatenate(found), n)
-
-    def starts_of(text: str | None, live: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        words = split(text)
-        hashes = word_hashes(words)
-        at, keys = anchors(hashes, window, period, cover)
-        at = at[contains(live, keys)]
-        starts = candidates(len(words), at, window, period) if len(at) else at
-        return words, hashes, starts
+        texts = _bytes(rows)
+        words = Words(texts, 1)
+        return packed_keys(block, np.concatenate([anchors(words.of(k), window, period, cover)[1] for k in range(len(texts))]), n)
 
     def send_windows(block: int, rows: pa.Table, told: pa.Table) -> list[tuple]:
         live = opened(told, np.dtype("<u8"))
-        found = [window_keys(hashes, starts, window) for _, hashes, starts in (starts_of(text, live) for _, text in _texts(rows)) if len(starts)]
+        if not len(live):
+            return []
+        texts = _bytes(rows)
+        words, found = Words(texts), []
+        for k in range(len(texts)):
+            hashes = words.of(k)
+            at, keys = anchors(hashes, window, period, cover)
+            at = at[contains(live, keys)]
+            if len(at):
+                found.append(window_keys(hashes, candidates(hashes.shape[1], at, window, period), window))
         return packed_keys(block, np.concatenate(found), n) if found else []
 
     def cut(block: int, rows: pa.Table, told: pa.Table) -> list[tuple]:
         live = opened(told, PAIR)
+        texts = _bytes(rows)
+        hashed = Words(texts) if len(live) else None
         out = []
-        for key, text in _texts(rows):
-            words = split(text)
-            gone = np.zeros(len(words) + 1, np.int64)
-            if len(live) and len(words) >= window:
-                hashes = word_hashes(words)
+        for k, (key, text) in enumerate(zip(rows.column("key").to_pylist(), texts, strict=True)):
+            words = text.split()
+            edges = np.zeros((0, 2), np.int64)
+            if hashed is not None and len(words) >= window:
                 starts = np.arange(len(words) - window + 1)
-                starts = starts[contains(live, window_keys(hashes, starts, window))]
-                np.add.at(gone, starts, 1)
-                np.add.at(gone, starts + window, -1)
-            lost = np.cumsum(gone)[:-1] > 0
-            edges = np.flatnonzero(np.diff(lost, prepend=False, append=False)).reshape(-1, 2)
-            kept = text_of(words, lost)
-            out.append((key, len(words), [{"start": a, "end": b} for a, b in edges.tolist()], kept))
+                starts = starts[contains(live, window_keys(hashed.of(k), starts, window))]
+                if len(starts):
+                    gone = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(gone, starts, 1)
+                    np.add.at(gone, starts + window, -1)
+                    lost = np.cumsum(gone)[:-1] > 0
+                    edges = np.flatnonzero(np.diff(lost, prepend=False, append=False)).reshape(-1, 2)
+                    words = [w for w, x in zip(words, lost.tolist(), strict=True) if not x]
+            out.append((key, len(words) + int((edges[:, 1] - edges[:, 0]).sum()), [{"start": a, "end": b} for a, b in edges.tolist()], b" ".join(words).decode()))
         return out
 
-    def text_of(words: list[bytes], lost: np.ndarray) -> str:
-        return b" ".join([w for w, x in zip(words, lost.tolist(), strict=True) if not x] if lost.any() else words).decode()
-
     live_anchors = repeated(per_block(own, None, send_anchors, KEYS), np.dtype("<u8"))
     live_windows = repeated(per_block(own, live_anchors, send_windows, KEYS), PAIR)
     return per_block(own, live_windows, cut, "doc_id long, n_words long, removed array<struct<start: int, end: int>>, kept string")

@@ -33,7 +33,7 @@ def test_cover_has_every_difference():
 
 
 def test_rolled_hashes_are_polynomials():
-    h = s.word_hashes([str(k).encode() for k in range(20)])
+    h = s.hashes_of([str(k).encode() for k in range(20)])
     for width in (1, 2, 5, 8, 13, 20):
         for which in (0, 1):
             base = int(s.BASES[which])
