@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.block_join import ENTRIES, SERVED, TOLD, distinct_keys, first_parcels, later, paired, parcels, requests, served, told_keys, verified
+from bitloom.llm.block_join import ENTRIES, SERVED, distinct_keys, first_parcels, later, paired, parcels, requests, served, told_keys, verified
 from bitloom.llm.components import components
 from bitloom.llm.key_exchange import PAIR, blocks_for, contains, in_blocks, per_block
 from bitloom.llm.substring_dedup import rolled

@@ -24,11 +24,6 @@ PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def split(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, unchanged."""
-    return (text or "").encode().split()
-
-
 def hashes_of(words: list[bytes]) -> np.ndarray:
     """Two rows of 64-bit numbers for a few words."""
     return Words([b" ".join(words)]).hashes

@@ -15,7 +15,7 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Bytes hashed together; a longer word is hashed alone.
-STRETCH = 1 << 18
+STRETCH = 1 << 15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -56,14 +56,16 @@ class Words:
         starts, lines, hashes, before = [], [], [[] for _ in range(halves)], 0
         for at, part in _stretches(texts):
             data = np.frombuffer(part, np.uint8)
-            turn = np.diff((~BLANK[data]).view(np.int8), prepend=0, append=0)
-            first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+            blank = BLANK[data]
+            turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+            turns = np.concatenate([[] if blank[0] else [0], turns, [] if blank[-1] else [len(data)]]).astype(np.int64)
+            first, last = turns[::2], turns[1::2]
             breaks = np.flatnonzero(data == 10)
             starts.append(first + at)
             lines.append(np.searchsorted(breaks, first) + before)
             before += len(breaks)
             length = (last - first).astype(np.uint64)
-            value = data.astype(np.uint64) + np.uint64(1)
+            value = data.astype(np.uint64)
             for out, (power, inverse), by in zip(hashes, _tables(len(data)), (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), strict=False):
                 with np.errstate(over="ignore"):
                     sums = np.zeros(len(data) + 1, np.uint64)

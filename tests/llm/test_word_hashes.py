@@ -7,7 +7,7 @@ from bitloom.llm import word_hashes as w
 
 def plain(word, which):
     base, by = w.BASES[which], (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)[which]
-    x = (sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(word)) + len(word) * by) % (1 << 64)
+    x = (sum(b * pow(base, k, 1 << 64) for k, b in enumerate(word)) + len(word) * by) % (1 << 64)
     return int(w.mixed(np.array([x], np.uint64), by)[0])
 
 
