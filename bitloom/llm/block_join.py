@@ -21,9 +21,11 @@ ENTRIES = "bucket int, block int, records binary"
 TILES = "lo int, hi int, pairs binary"
 TOLD = "block int, kind string, lo int, hi int, data binary"
 SERVED = "lo int, hi int, side int, numbers binary, sizes binary, members binary, marks binary, pairs binary"
-COUPLE = np.dtype([("lo", "<u4"), ("hi", "<u4")])
-#: Pairs looked at together in one array.
-CHUNK = 1 << 19
+COUPLE = np.dtype([("lo", "<u4"), ("hi", "<u4"), ("n", "<u4")])
+#: Pairs looked at together in one array, and pairs gathered before repeats among them are merged.
+CHUNK, GATHERED = 1 << 19, 1 << 20
+#: Similar sets, unless equal, have at least four members in common; so many of the rarest they must share.
+SHARED = 2
 #: Jaccard similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 
@@ -33,9 +35,9 @@ def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    """So many members, in a common order, of similar sets hold a common one."""
-    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
+def prefix_length(n: np.ndarray, shared: int = SHARED) -> np.ndarray:
+    """So many members, in a common order, of similar sets hold so many common ones; none of sets too small to have a similar one that isn't equal."""
+    return np.where(n < NUMERATOR, 0, n - -(-NUMERATOR * n // DENOMINATOR) + shared)
 
 
 def parcels(block: int, records: np.ndarray, lead: np.ndarray, buckets: int) -> list[tuple]:
@@ -67,27 +69,30 @@ def fitting(records: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def paired(entries: DataFrame, kind: np.dtype, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Candidate pairs by tile. Records have key, item, n; keep(left, right) says which pairs of records pass the other filters."""
+    """Candidate pairs by tile, with the number of keys of the bucket that they share. Records have key, item, n; keep(left, right) says which pairs of records pass the other filters."""
     schema = arrow_schema(TILES)
 
     def bucket(found: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_buffer(), kind) for x in found.column("records")]
         records = np.concatenate(parts)
         block = np.repeat(np.array(found.column("block").to_pylist(), np.int64), [len(p) for p in parts])
-        tiles, couples = [], []
+        tiles, couples, gathered = [], [], 0
         for left, right in fitting(records):
             at = np.flatnonzero(keep(records[left], records[right]))
             left, right = left[at], right[at]
             a, b, x, y = block[left], block[right], records["item"][left], records["item"][right]
             swap = (a > b) | ((a == b) & (x > y))
             couple = np.empty(len(left), COUPLE)
-            couple["lo"], couple["hi"] = np.where(swap, y, x), np.where(swap, x, y)
+            couple["lo"], couple["hi"], couple["n"] = np.where(swap, y, x), np.where(swap, x, y), 1
             tiles.append(np.where(swap, b, a) << 32 | np.where(swap, a, b))
             couples.append(couple)
+            gathered += len(couple)
+            if gathered > GATHERED:
+                tile, couple = merged(np.concatenate(tiles), np.concatenate(couples))
+                tiles, couples, gathered = [tile], [couple], 0
         if not tiles:
             return pa.Table.from_batches([], schema)
-        tile, couple = np.concatenate(tiles), np.concatenate(couples)
-        tile, couple = _distinct(tile, couple)
+        tile, couple = merged(np.concatenate(tiles), np.concatenate(couples))
         edges = np.flatnonzero(np.diff(tile, prepend=-1, append=-2))
         rows = [(int(tile[s] >> 32), int(tile[s] & 0xFFFFFFFF), couple[s:e].tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
         return pa.Table.from_batches([record_batch(rows, schema)] if rows else [], schema)
@@ -95,12 +100,16 @@ def paired(entries: DataFrame, kind: np.dtype, keep: Callable[[np.ndarray, np.nd
     return entries.groupBy("bucket").applyInArrow(bucket, TILES)
 
 
-def _distinct(tile: np.ndarray, couple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def merged(tile: np.ndarray, couple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, by tile and items, with their numbers added up."""
     own = (couple["lo"].astype(np.uint64) << np.uint64(32)) | couple["hi"]
     order = np.lexsort((own, tile))
-    tile, own = tile[order], own[order]
-    first = np.concatenate([[True], (tile[1:] != tile[:-1]) | (own[1:] != own[:-1])]) if len(tile) else np.zeros(0, bool)
-    return tile[first], couple[order][first]
+    tile, own, n = tile[order], own[order], couple["n"][order]
+    first = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (own[1:] != own[:-1])])) if len(tile) else np.zeros(0, np.int64)
+    out = np.empty(len(first), COUPLE)
+    out["lo"], out["hi"] = own[first] >> np.uint64(32), own[first] & np.uint64(0xFFFFFFFF)
+    out["n"] = np.add.reduceat(n, first) if len(first) else 0
+    return tile[first], out
 
 
 def requests(tiles: DataFrame) -> DataFrame:
@@ -116,19 +125,20 @@ def requests(tiles: DataFrame) -> DataFrame:
     return map_rows(tiles, make, TOLD)
 
 
-def asked(told: pa.Table) -> dict[tuple[int, int], np.ndarray]:
-    """From what a block was told, the distinct pairs of each tile."""
+def asked(told: pa.Table, shared: int) -> dict[tuple[int, int], np.ndarray]:
+    """From what a block was told, the pairs of each tile that share enough keys."""
     out: dict[tuple[int, int], list[np.ndarray]] = {}
     for kind, lo, hi, data in zip(*(told.column(c).to_pylist() for c in ("kind", "lo", "hi", "data")), strict=True):
         if kind == "ask":
             out.setdefault((lo, hi), []).append(np.frombuffer(data, COUPLE))
-    return {k: _distinct(np.zeros(sum(map(len, v)), np.int64), np.concatenate(v))[1] for k, v in out.items()}
+    pairs = {k: merged(np.zeros(sum(map(len, v)), np.int64), np.concatenate(v))[1] for k, v in out.items()}
+    return {k: few for k, v in pairs.items() if len(few := v[v["n"] >= shared])}
 
 
-def served(block: int, told: pa.Table, first: np.ndarray, size: np.ndarray, members: np.ndarray, marks: np.ndarray) -> list[tuple]:
+def served(block: int, told: pa.Table, first: np.ndarray, size: np.ndarray, members: np.ndarray, marks: np.ndarray, shared: int = 1) -> list[tuple]:
     """Answers to requests: item k's members are members[first[k] : first[k] + size[k]], sorted; marks says what else is known of it. The lower block passes the pairs on."""
     rows = []
-    for (lo, hi), couple in asked(told).items():
+    for (lo, hi), couple in asked(told, shared).items():
         own = [couple[side] for side, other in (("lo", lo), ("hi", hi)) if other == block]
         numbers = np.unique(np.concatenate(own))
         n = size[numbers]

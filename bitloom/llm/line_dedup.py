@@ -4,9 +4,9 @@ A line is the set of its words. It is removed if a line before it, by document i
 0.8 or more to it, wherever that line is and whether or not it is removed itself; of equal sets the first stays. Lines without words stay.
 
 Sets are joined by prefix filtering: the words of a line are ordered by rarity, and similar lines share a word among the rarest
-few. Rarity is how often a word stands in all documents, counted in a table of fixed size in which words share
-places by hash: any common order gives exact results, this one short lists. Pairs that share a word in their prefixes pass a length filter, a positional filter (what
-follows the shared words must be enough) and a filter on the bits that the words set, and are then verified on whole sets.
+few; two of them, in fact, with prefixes one longer, as lines that are similar without being equal have four words in common. Rarity is how often a word stands in all documents, counted in a table of fixed size in which words share
+places by hash: any common order gives exact results, this one short lists. Pairs that share two words of their prefixes pass a length filter, a positional filter (what
+stands before and after a shared word must be enough) and a filter on bits that the words flip, of which no more can differ than words do. They are then verified on whole sets.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.block_join import ENTRIES, SERVED, TOLD, distinct_keys, first_parcels, later, needed, paired, parcels, prefix_length, requests, served, told_keys, verified
+from bitloom.llm.block_join import ENTRIES, SERVED, SHARED, TOLD, distinct_keys, first_parcels, later, needed, paired, parcels, prefix_length, requests, served, told_keys, verified
 from bitloom.llm.key_exchange import PAIR, blocks_for, contains, per_block
 from bitloom.llm.tables import arrow_schema, record_batch, scan_bytes, table
 from bitloom.llm.word_hashes import Words, mixed
 
 #: Places of the table of word counts: 4 MB as levels.
 PLACES = 1 << 22
+#: Text of one block: what a task's arrays come from.
+BLOCK_BYTES = 4 << 20
 SLICES = 64
 POSTING = np.dtype([("key", "<u4"), ("item", "<u4"), ("n", "<u4"), ("at", "<u4"), ("bits", "<u8", (2,))])
 MARK = np.dtype([("key", PAIR), ("order", "<i8"), ("line", "<i4"), ("block", "<i4")])
@@ -129,7 +131,7 @@ def postings(found: Lines, items: np.ndarray, levels: np.ndarray) -> tuple[np.nd
     half = ((spread >> np.uint64(6)) & np.uint64(1)).astype(bool)
     starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.zeros(0, np.int64)
     for k, mask in enumerate((half, ~half)):
-        bits[:, k] = np.bitwise_or.reduceat(np.where(mask, one, np.uint64(0)), starts) if len(starts) else 0
+        bits[:, k] = np.bitwise_xor.reduceat(np.where(mask, one, np.uint64(0)), starts) if len(starts) else 0
     rank = _by_rarity(owner, level, hashes)
     place = np.arange(len(rank)) - np.repeat(starts, n)
     chosen = (place < np.repeat(prefix_length(n), n)) & (level[rank] > 0)
@@ -144,7 +146,7 @@ def postings(found: Lines, items: np.ndarray, levels: np.ndarray) -> tuple[np.nd
 def _may_match(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     a, b = x["n"].astype(np.int64), y["n"].astype(np.int64)
     least = needed(a, b)
-    rest = np.minimum(a - x["at"], b - y["at"])
+    rest = np.minimum(x["at"], y["at"]) + np.minimum(a - x["at"], b - y["at"])
     differ = np.bitwise_count(x["bits"] ^ y["bits"]).astype(np.int64).sum(1)
     return (rest >= least) & (differ <= a + b - 2 * least)
 
@@ -167,7 +169,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [{id_col: "key", text_col: "text"}.get(c, f"c{k}") for k, c in enumerate(docs.columns)]
     own = docs.toDF(*names).withColumns({"key": F.col("key").cast("long"), "text": F.col("text").cast("string")})
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    n = blocks_for(scan_bytes(own, "text"), *([block_bytes] if block_bytes else []))
+    n = blocks_for(scan_bytes(own, "text"), block_bytes or BLOCK_BYTES)
     # all steps read one exchange of the documents
     own = own.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("int"))
     # PLACES bytes, whatever the corpus
@@ -190,7 +192,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         at = found.item_line
         marks = np.zeros(len(at), MARK)
         marks["key"], marks["order"], marks["line"], marks["block"] = found.item_keys, found.order[at], found.line[at], block
-        return served(block, told, found.first[at], found.n[at], found.hashes, marks)
+        return served(block, told, found.first[at], found.n[at], found.hashes, marks, SHARED)
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", n_lines int, removed array<int>, kept_text string"
 

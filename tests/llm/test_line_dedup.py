@@ -60,7 +60,10 @@ def test_threshold_is_exact():
         for b in range(1, 40):
             o = int(needed(np.int64(a), np.int64(b)))
             assert 5 * o >= 4 * (a + b - o) and (o == 0 or 5 * (o - 1) < 4 * (a + b - o + 1))
-        assert a - int(prefix_length(np.int64(a))) + 1 == -(-4 * a // 5)
+        assert int(prefix_length(np.int64(a))) == (0 if a < 4 else a - -(-4 * a // 5) + 2)
+        # similar sets that aren't equal share two words at least
+        assert all(needed(np.int64(a), np.int64(b)) >= 4 for b in range(a, 5 * a // 4 + 1) if a > 3)
+        assert all(int(needed(np.int64(a), np.int64(b))) >= min(a, b) for b in range(a, 5 * a // 4 + 1) if a < 4)
 
 
 def test_query(spark):
