@@ -17,7 +17,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.tables import arrow_schema, columns, map_rows, table, written
+from bitloom.llm.tables import arrow_schema, columns, kept, map_rows, table, written
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker keeps; beyond it, it starts anew. It bounds memory, not results.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 #: Pieces to a hash bucket, about: what one task numbers at once.
 BUCKET_PIECES = 200_000
 
@@ -90,14 +89,13 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
-@cache
 def encoder(name: str) -> Encoder:
-    """One encoder a worker process, by the tokenizer file's name among the public ones, or its path."""
+    """The worker's encoder, by the tokenizer file's name among the public ones, or its path."""
     if os.path.sep not in name:
         import public_tokenizers
 
         name = public_tokenizers.path(name)
-    return Encoder(name)
+    return kept(f"encoder {name}", lambda: Encoder(name))
 
 
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
 
         return each
 
-    found = map_rows(columns(docs, key=f"{id_col}:long", text=text_col), make, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    found = map_rows(columns(docs, key=f"{id_col}:long", text=text_col), make, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary", keeps=True)
     return found if with_ids else found.drop("ids")
 
 
@@ -232,8 +230,8 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     places = _places(plan(counts, capacity), capacity)
     local = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start")) - 1
     numbered = dealt.withColumn("number", local).join(before, ["length", "bucket"]).withColumn("number", F.col("number") + F.col("before")).drop("bucket", "before")
-    kept = [c for c in found.columns if c not in ("sequence_id", "offset")]
-    schema = arrow_schema(", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in kept) + ", sequence_id long, offset long")
+    own = [c for c in found.columns if c not in ("sequence_id", "offset")]
+    schema = arrow_schema(", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in own) + ", sequence_id long, offset long")
     shared = found.sparkSession.sparkContext.broadcast(places)  # some numbers for each pattern: bounded by the number of lengths
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,9 +246,9 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 starts, first, offsets = where[length[at[0]]]
                 k = np.searchsorted(starts, number[at], "right") - 1
                 sequence[at], offset[at] = first[k] + number[at] - starts[k], offsets[k]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(sequence), pa.array(offset)], schema=schema)
 
-    return numbered.select(*kept, F.col("number").cast("long").alias("number")).mapInArrow(place, ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in kept) + ", sequence_id long, offset long")
+    return numbered.select(*own, F.col("number").cast("long").alias("number")).mapInArrow(place, ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in own) + ", sequence_id long, offset long")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.tables import arrow_schema, columns, record_batch, table, written
+from bitloom.llm.tables import arrow_schema, columns, record_batch, release, table, written
 
 WINDOW = 10
 SHARD_CHARS = 8_000_000
@@ -64,6 +64,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None, id_col:
         return record_batch([(number, terms, counts.astype("<i4").tobytes(), gaps.tobytes(), [k for k, _, _ in rows], lengths, [m for _, _, m in rows])], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         number, rows, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, 256):

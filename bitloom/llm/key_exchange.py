@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.tables import arrow_schema, record_batch
+from bitloom.llm.tables import arrow_schema, record_batch, release
 
 BLOCK_BYTES = 8 << 20
 KEYS = "bucket int, block int, keys binary, often binary"
@@ -123,6 +123,7 @@ def per_block(docs: DataFrame, live: DataFrame | None, each: Callable[[int, pa.T
     kinds = arrow_schema(schema)
 
     def table(rows: list[tuple]) -> pa.Table:
+        release()
         return pa.Table.from_batches([record_batch(rows, kinds)] if rows else [], kinds)
 
     if live is None:

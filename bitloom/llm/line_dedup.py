@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.block_join import ENTRIES, SERVED, SHARED, TOLD, distinct_keys, first_parcels, later, needed, paired, parcels, prefix_length, requests, served, told_keys, verified
 from bitloom.llm.key_exchange import PAIR, blocks_for, contains, per_block
-from bitloom.llm.tables import arrow_schema, record_batch, scan_bytes, table
+from bitloom.llm.tables import arrow_schema, record_batch, release, scan_bytes, table
 from bitloom.llm.word_hashes import Words, mixed
 
 #: Places of the table of word counts: 4 MB as levels.
@@ -95,6 +95,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     schema = arrow_schema("slice int, counts binary")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(PLACES, np.uint32)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):

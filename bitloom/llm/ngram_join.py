@@ -21,7 +21,7 @@ from bitloom.llm.block_join import ENTRIES, SERVED, distinct_keys, first_parcels
 from bitloom.llm.components import components
 from bitloom.llm.key_exchange import PAIR, blocks_for, contains, in_blocks, per_block
 from bitloom.llm.substring_dedup import rolled
-from bitloom.llm.tables import arrow_schema, columns, scan_bytes, table, written
+from bitloom.llm.tables import arrow_schema, columns, release, scan_bytes, table, written
 from bitloom.llm.word_hashes import Words
 
 WORDS = 5
@@ -174,6 +174,7 @@ def _with_key(df: DataFrame) -> DataFrame:
     at = df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

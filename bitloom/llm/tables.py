@@ -30,7 +30,24 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]], schema: str, chunk_rows: int = 256) -> DataFrame:
+#: What a worker process keeps from task to task, for one operator at a time: workers outlive stages, and their memory is shared by all.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What make() gave in this worker under the name, made now if another operator's task has run since."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def release() -> None:
+    """At the start of a task that keeps nothing: frees what another operator has kept."""
+    _KEPT.clear()
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]], schema: str, chunk_rows: int = 256, keeps: bool = False) -> DataFrame:
     """Each row of df through a function; make() builds it once per task, it takes the row's values and yields any number of output rows.
 
     Rows are handled a few at a time, so memory holds an input batch and a small output batch only.
@@ -38,6 +55,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]],
     kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         each = make()
         for batch in batches:
             for start in range(0, batch.num_rows, chunk_rows):

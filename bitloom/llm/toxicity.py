@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.tables import columns, map_rows, table
+from bitloom.llm.tables import columns, map_rows, release, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hashes of their ids.
 TRAIN_ROWS = 5_000
 #: Words whose features a worker keeps; it bounds memory, not results.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 
 
 @dataclass(frozen=True)
@@ -161,6 +161,7 @@ def accepted(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         score = Scorer(shared.value)
         for batch in batches:
             yield batch.filter(pa.array([score(text.as_py() or "") < limit for text in batch.column(at)], pa.bool_()))
