@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +43,35 @@ def ngrams(word: str, sizes: tuple[int, ...]) -> set[str]:
     return {w[k : k + n] for n in sizes for k in range(len(w) - n + 1)}
 
 
+def _grams(known: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, Callable]:
+    """All pairs of a word's number and an n-gram's, and a function from n-grams' numbers to (number, n-gram) pairs."""
+    text = "".join(f"^{w}$" for w in known)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(known)), [len(w) + 2 for w in known])
+    keys, words, places, lengths = [], [], [], []
+    with np.errstate(over="ignore"):
+        for n in sizes:
+            at = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :]) if len(owner) >= n else np.zeros(0, np.int64)
+            key = np.full(len(at), n, np.uint64)
+            for k in range(n):
+                key = (key ^ codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            keys.append(key)
+            words.append(owner[at])
+            places.append(at)
+            lengths.append(np.full(len(at), n))
+    key, word, place, length = map(np.concatenate, (keys, words, places, lengths))
+    order = np.lexsort((word, key))
+    key, word, place, length = key[order], word[order], place[order], length[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (word[1:] != word[:-1])  # an n-gram counts once in a word
+    key, word, place, length = key[fresh], word[fresh], place[fresh], length[fresh]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    group, firsts = np.cumsum(first) - 1, np.flatnonzero(first)
+    return word, group, lambda chosen: [(g, text[place[firsts[g]] : place[firsts[g]] + length[firsts[g]]]) for g in chosen.tolist()]
+
+
 def fit(rows: list[tuple[list[str], int]], sizes: tuple[int, ...] = (3, 4, 5), smooth: float = 0.5, min_z: float = 3.0, penalty: float = 0.02, rounds: int = 400) -> Model:
     """rows: a text's distinct words and its label, 0 or 1. Without both labels the model is a constant."""
     labels = np.array([y for _, y in rows], float)
@@ -51,28 +80,25 @@ def fit(rows: list[tuple[list[str], int]], sizes: tuple[int, ...] = (3, 4, 5), s
     by_word = (Counter(), Counter())
     for words, y in rows:
         by_word[y].update(words)
-    counts = (Counter(), Counter())
-    for y in (0, 1):
-        for word, n in by_word[y].items():
-            for g in ngrams(word, sizes):
-                counts[y][g] += n
     total = [sum(by_word[y].values()) for y in (0, 1)]
-    ratio: dict[str, float] = {}
-    for g in counts[0].keys() | counts[1].keys():
-        a, b = counts[1][g] + smooth, counts[0][g] + smooth
-        r = np.log(a / (total[1] + smooth)) - np.log(b / (total[0] + smooth))
-        if abs(r) >= min_z * np.sqrt(1 / a + 1 / b):
-            ratio[g] = float(r)
+    known = sorted(by_word[0].keys() | by_word[1].keys())
+    word, group, names_of = _grams(known, sizes)
+    a, b = (np.bincount(group, np.array([by_word[y][w] for w in known], float)[word]) + smooth for y in (1, 0))
+    log_ratio = np.log(a / (total[1] + smooth)) - np.log(b / (total[0] + smooth))
+    sure = np.abs(log_ratio) >= min_z * np.sqrt(1 / a + 1 / b)
+    ratio = {name: float(log_ratio[g]) for g, name in names_of(np.flatnonzero(sure))}
     names = sorted(ratio)
     index = {g: k for k, g in enumerate(names)}
+    number = {g: index[name] for g, name in names_of(np.flatnonzero(sure))}
     of_word: dict[str, list[int]] = {}
+    telling = sure[group]
+    for w, g in zip(word[telling].tolist(), group[telling].tolist(), strict=True):
+        of_word.setdefault(known[w], []).append(number[g])
     at_row, at_feature = [], []
     for k, (words, _) in enumerate(rows):
         has: set[int] = set()
         for w in words:
-            if w not in of_word:
-                of_word[w] = [index[g] for g in ngrams(w, sizes) if g in index]
-            has.update(of_word[w])
+            has.update(of_word.get(w, ()))
         at_row += [k] * len(has)
         at_feature += sorted(has)
     i, j = np.array(at_row, np.int64), np.array(at_feature, np.int64)
