@@ -26,8 +26,8 @@ from bitloom.llm.word_hashes import Words, mixed
 
 #: Places of the table of word counts: 4 MB as levels.
 PLACES = 1 << 22
-#: Text of one block: what a task's arrays come from.
-BLOCK_BYTES = 4 << 20
+#: Text of one block. A line of a large group goes to as many tiles as there are blocks, so smaller blocks mean more to send.
+BLOCK_BYTES = 8 << 20
 SLICES = 64
 POSTING = np.dtype([("key", "<u4"), ("item", "<u4"), ("n", "<u4"), ("at", "<u4"), ("bits", "<u8", (2,))])
 MARK = np.dtype([("key", PAIR), ("order", "<i8"), ("line", "<i4"), ("block", "<i4")])
