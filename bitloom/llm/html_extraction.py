@@ -3,7 +3,8 @@
 The page is read as a stream of tags and text. Each piece of text has a tag path, the names of its open elements from the root.
 For each path the text's length and its punctuation are added up and divided by the number of its pieces and of link characters; a wide path
 with much punctuation is prose, a path of menus is not. The ratios are smoothed along the page, both kinds are fused into one, and pieces over a
-threshold are content. The smallest element that holds nearly all of the content's weight is the article. Its blocks are returned whole, except for elements that by
+threshold are content. The smallest element that holds nearly all of the content's weight is the article. Returned are its blocks, all content outside it, the
+blocks between the first and the last of these, and the heading before with what follows it, except for elements that by
 tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms or reader comments.
 """
 
@@ -37,6 +38,7 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 SCOPES = frozenset("table td th caption button object".split())
 DROPPED = frozenset("nav footer aside form button select input menu dialog iframe script style noscript template textarea title head svg math label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -68,6 +70,7 @@ class Element:
         above = self.parent
         self.depth = above.depth + 1 if above else 0
         self.link = self.name == "a" or above is not None and above.link
+        self.heading = self.name if self.name in HEADINGS else above.heading if above else ""
         self.article = self.name in ("article", "main") or above is not None and above.article
 
 
@@ -196,8 +199,25 @@ def scores(pieces: list[Piece], window: int = 2, sigma: float = 1.0) -> np.ndarr
     return by_length * (1 + by_marks)
 
 
+def _opening(pieces: list[Piece], first: int, links: int = 5) -> int:
+    """Where the text that starts at the piece `first` begins with its heading: back to the nearest one, and to higher ones above it, but not past a run of links."""
+    start, rank, run = first, pieces[first].owner.heading or "h7", 0
+    if pieces[first].owner.article and rank != "h7":
+        return start
+    for k in range(first - 1, -1, -1):
+        p, size = pieces[k], len(pieces[k].text.strip())
+        if p.owner.heading:
+            if size and p.owner.heading < rank:
+                start, rank = k, p.owner.heading
+        elif size:
+            run = run + 1 if p.link else run if size < 4 else 0
+            if run == links:
+                break
+    return start
+
+
 def main_text(page: str | None, share: float = 0.9) -> str:
-    """The article's blocks, joined by two line breaks; empty if the page has no text."""
+    """The blocks of the article and of all content around it, joined by two line breaks; empty if the page has no text."""
     pieces = [p for p in read(page or "") if not p.owner.dropped]
     if not any(p.text.strip() for p in pieces):
         return ""
@@ -227,9 +247,11 @@ def main_text(page: str | None, share: float = 0.9) -> str:
     for e in sorted(known.values(), key=lambda e: e.depth):
         if e.parent is not None and id(e.parent) in inside:
             inside.add(id(e))
+    chosen = [k for k, p in enumerate(pieces) if p.text.strip() and (content[k] or id(p.owner) in inside)]
+    low, high = pieces[_opening(pieces, chosen[0])].block, pieces[chosen[-1]].block
     found: dict[int, list[str]] = {}
     for p in pieces:
-        if id(p.owner) in inside:
+        if low <= p.block <= high:
             found.setdefault(p.block, []).append(p.text)
     blocks = [SPACE.sub(" ", "".join(parts)).strip() for _, parts in sorted(found.items())]
     return "\n\n".join(b for b in blocks if b)

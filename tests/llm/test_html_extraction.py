@@ -30,6 +30,22 @@ def test_main_text(page):
     assert main_text(page) == html.unescape(WANT)
 
 
+LONG = BODY * 7
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><nav>{MENU}</nav><article><h1>One</h1>{PARAGRAPHS * 3}</article><article><h2>Two</h2>{PARAGRAPHS * 2}</article></body>", ["One", *BODY * 3, "Two", *BODY * 2]),
+        (f"<main><h1>One</h1>{PARAGRAPHS}<article>{PARAGRAPHS * 4}</article>{PARAGRAPHS}<p>So.</p><p>{BODY[0]}</p></main>", ["One", *BODY * 6, "So.", BODY[0]]),
+        (f"<div id=a>{MENU}</div><div class=post><h1>Title</h1><p>lede</p><div class=body>{''.join(f'<p>{p}</p>' for p in LONG)}</div></div>", ["Title", "lede", *LONG]),
+        (f"<div>{MENU}</div><div class=post><h1>Title</h1><p>By <a>A. Writer</a></p><div class=body><h2>Part</h2>{PARAGRAPHS}</div></div>", ["Title", "By A. Writer", "Part", *BODY]),
+    ],
+)
+def test_content_of_several_elements(page, want):
+    assert main_text(page) == "\n\n".join(want)
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p> </p>") == main_text("<script>x</script>") == ""
     assert main_text("just words, no tags") == "just words, no tags"
