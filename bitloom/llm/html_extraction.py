@@ -5,7 +5,8 @@ For each path the text's length and its punctuation are added up and divided by
 with much punctuation is prose, a path of menus is not. The ratios are smoothed along the page, both kinds are fused into one, and pieces over a
 threshold are content. The smallest element that holds nearly all of the content's weight is the article. Returned are its blocks, all content outside it, the
 blocks between the first and the last of these, and the heading before with what follows it, except for elements that by
-tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms or reader comments.
+tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms or reader comments. All text is scored before these are left out:
+such an element that holds most of the content's weight is a wrapper around the article and stays.
 """
 
 from __future__ import annotations
@@ -48,6 +49,13 @@ NAMES = re.compile(
     r"related|recommended|recommendations|share|sharing|social|widgets?|pagination|pager|copyright|legal|disclaimer|skip|hidden)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Tags and names of text beside an article, which may outweigh it.
+BESIDE_TAGS = frozenset("nav footer aside button select input menu dialog label".split())
+BESIDE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertorial|adsense|adbox|banners?|sponsor(?:ed|s)?|promo(?:s|tions?|ted)?|nav|navs|navbar|navigation|menus?|breadcrumbs?|footers?|foot|cookies?|consent|gdpr|newsletter|copyright|"
+    r"comments?|commentlist|replies|respond|disqus|discussion|reactions|feedback|related|recommended|recommendations|share|sharing|social|hidden)(?:$|[\s_-]|\d)",
+    re.I,
+)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 LAYOUT = re.compile(r"(?<![^\s_-])(?:has|no|with|without)[_-]\w+", re.I)
@@ -60,14 +68,17 @@ SPACE = re.compile(r"\s+")
 class Element:
     name: str
     parent: Element | None
-    #: boilerplate by tag, role or class
-    dropped: bool = False
+    #: what makes it boilerplate: its tag, role or name
+    mark: str = ""
+    #: the mark names text that stands beside an article
+    beside: bool = False
     #: number of the tag path from the root
     path: int = 0
     weight: float = 0.0
 
     def __post_init__(self):
         above = self.parent
+        self.dropped = bool(self.mark) or above is not None and above.dropped
         self.depth = above.depth + 1 if above else 0
         self.link = self.name == "a" or above is not None and above.link
         self.heading = self.name if self.name in HEADINGS else above.heading if above else ""
@@ -83,24 +94,29 @@ class Piece:
     link: bool
 
 
-def _boilerplate(name: str, attributes: str, inside_article: bool) -> bool:
+def _boilerplate(name: str, attributes: str, inside_article: bool) -> tuple[str, bool]:
+    """What makes an element boilerplate, if anything does, and whether that names text beside an article."""
     if name in DROPPED:
-        return True
+        return name, name in BESIDE_TAGS
     if name == "header" and not inside_article:
-        return True
+        return name, False
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return "", False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if key in ("class", "id") and name not in ("html", "body", "article", "main"):
             value = LAYOUT.sub("", HUMP.sub("-", value))
-            if NAMES.search(value) or not inside_article and {"header", "hdr"} & set(value.lower().split()):
-                return True
-        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            if found := NAMES.search(value):
+                return found[0].strip("-_ \t\r\n\f0123456789").lower(), bool(BESIDE.search(value))
+            if not inside_article and {"header", "hdr"} & set(value.lower().split()):
+                return "header", False
+        if key == "role" and value.lower() in ROLES:
+            return value.lower(), value.lower() not in ("form", "alert")
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return "hidden", True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "hidden", True
+    return "", False
 
 
 def read(page: str) -> list[Piece]:
@@ -171,7 +187,7 @@ def read(page: str) -> list[Piece]:
             continue
         top = stack[-1]
         path = paths.setdefault((top.path, name), len(paths) + 1)
-        element = Element(name, top, top.dropped or _boilerplate(name, m[3], top.article), path)
+        element = Element(name, top, *_boilerplate(name, m[3], top.article), path)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
@@ -199,6 +215,77 @@ def scores(pieces: list[Piece], window: int = 2, sigma: float = 1.0) -> np.ndarr
     return by_length * (1 + by_marks)
 
 
+def _weights(pieces: list[Piece], weight: np.ndarray) -> list[Element]:
+    """All elements of the pieces, the deepest first, with the weights of their pieces added up."""
+    known: dict[int, Element] = {}
+    for p in pieces:
+        e = p.owner
+        while e is not None and id(e) not in known:
+            known[id(e)] = e
+            e.weight = 0.0
+            e = e.parent
+    for p, w in zip(pieces, weight.tolist(), strict=True):
+        p.owner.weight += w
+    out = sorted(known.values(), key=lambda e: -e.depth)
+    for e in out:
+        if e.parent is not None:
+            e.parent.weight += e.weight
+    return out
+
+
+def _content(pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ratios of the pieces, which are content, and the lengths of these."""
+    fused = scores(pieces)
+    content = fused >= min(fused.std() if len(fused) > 1 else 0.0, fused.max())
+    return fused, content, np.where(content, np.array([len(p.text.strip()) for p in pieces], float), 0)
+
+
+def _keep_wrappers(pieces: list[Piece], share: float) -> None:
+    """Unmarks elements around the article: those that hold most of the content of all text, whatever their names.
+
+    Text beside an article, such as comments or the footer of a short page, may outweigh it, so these stay marked unless they hold the h1, or nearly all
+    is theirs and no <article> or <main> is left without them. If the names leave next to nothing, the article is in several elements of one mark, and those of the mark with most of the weight are unmarked together.
+    """
+    fused, _, weight = _content(pieces)
+    weight = np.where(fused > 0, weight, 0)
+
+    def settle(elements: list[Element]) -> None:
+        for e in reversed(elements):
+            e.dropped = bool(e.mark) or e.parent is not None and e.parent.dropped
+
+    elements = _weights(pieces, weight)
+    own = {id(e): e.weight for e in elements}
+    titles = {id(e): e.weight for e in _weights(pieces, np.array([p.owner.heading == "h1" and bool(p.text.strip()) for p in pieces], float))}
+    articles = any(p.owner.article and not p.owner.dropped and p.text.strip() for p in pieces)
+    whole = own[id(elements[-1])]
+    aside: set[int] = set()
+    for e in reversed(elements):
+        if e.beside and titles[id(e)]:
+            e.beside = False
+        elif e.beside and whole and own[id(e)] >= share * whole and not articles:
+            e.mark, e.beside = "", False
+        if e.beside or e.parent is not None and id(e.parent) in aside:
+            aside.add(id(e))
+    weight = np.where([id(p.owner) in aside for p in pieces], 0, weight)
+    elements = _weights(pieces, weight)
+    total = elements[-1].weight
+    for e in elements:
+        if e.mark and not e.beside and e.weight > 0.5 * total:
+            e.mark = ""
+    settle(elements)
+    left = sum(w for p, w in zip(pieces, weight.tolist(), strict=True) if not p.owner.dropped)
+    if total and left <= (1 - share) * total:
+        by_mark: Counter[str] = Counter()
+        for e in elements:
+            if e.mark and not e.beside and not (e.parent is not None and e.parent.dropped):
+                by_mark[e.mark] += e.weight
+        for mark, _ in by_mark.most_common(1):
+            for e in elements:
+                if e.mark == mark and not e.beside:
+                    e.mark = ""
+        settle(elements)
+
+
 def _opening(pieces: list[Piece], first: int, links: int = 5) -> int:
     """Where the text that starts at the piece `first` begins with its heading: back to the nearest one, and to higher ones above it, but not past a run of links."""
     start, rank, run = first, pieces[first].owner.heading or "h7", 0
@@ -218,33 +305,22 @@ def _opening(pieces: list[Piece], first: int, links: int = 5) -> int:
 
 def main_text(page: str | None, share: float = 0.9) -> str:
     """The blocks of the article and of all content around it, joined by two line breaks; empty if the page has no text."""
-    pieces = [p for p in read(page or "") if not p.owner.dropped]
+    pieces = read(page or "")
+    if any(p.owner.dropped and p.text.strip() for p in pieces):
+        _keep_wrappers(pieces, share)
+    pieces = [p for p in pieces if not p.owner.dropped]
     if not any(p.text.strip() for p in pieces):
         return ""
-    fused = scores(pieces)
-    threshold = fused.std() if len(fused) > 1 else 0.0
-    weight = np.array([len(p.text.strip()) for p in pieces], float)
-    content = fused >= min(threshold, fused.max())
-    weight = np.where(content, weight, 0)
-    total = weight.sum() or 1.0
-    # the weight of each element, summed over its descendants, the deepest first
-    known: dict[int, Element] = {}
-    for p, w in zip(pieces, weight.tolist(), strict=True):
-        p.owner.weight += w
-        e = p.owner
-        while e is not None and id(e) not in known:
-            known[id(e)] = e
-            e = e.parent
-    for e in sorted(known.values(), key=lambda e: -e.depth):
-        if e.parent is not None:
-            e.parent.weight += e.weight
-    marked = [e for e in known.values() if e.name in ("article", "main") and e.weight >= 0.5 * total]
-    best = max(marked or [e for e in known.values() if e.weight >= share * total and (e.name in BLOCK or not e.name)], key=lambda e: e.depth)
+    _, content, weight = _content(pieces)
+    elements = _weights(pieces, weight)
+    total = elements[-1].weight or 1.0
+    marked = [e for e in elements if e.name in ("article", "main") and e.weight >= 0.5 * total]
+    best = max(marked or [e for e in elements if e.weight >= share * total and (e.name in BLOCK or not e.name)], key=lambda e: e.depth)
     while best.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "blockquote", "ul", "ol", "dl", "dd", "dt", "pre", "b", "table", "tbody") and best.parent is not None and best.parent.parent is not None:
         best = best.parent  # an article of one paragraph is still the element around it
 
     inside = {id(best)}
-    for e in sorted(known.values(), key=lambda e: e.depth):
+    for e in reversed(elements):
         if e.parent is not None and id(e.parent) in inside:
             inside.add(id(e))
     chosen = [k for k, p in enumerate(pieces) if p.text.strip() and (content[k] or id(p.owner) in inside)]

@@ -46,6 +46,31 @@ def test_content_of_several_elements(page, want):
     assert main_text(page) == "\n\n".join(want)
 
 
+COMMENTS = "".join(f"<div class=comment><p>{p}</p></div>" for p in BODY * 4)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div id=page class='right-sidebar'><nav>{MENU}</nav><div><h1>A flood &amp;c.</h1>{PARAGRAPHS}</div><div class=sidebar><p>Other, shorter news.</p></div></div>",
+        f"<div class='two-col sidebar-left'><div class=legal><h1>A flood &amp;c.</h1>{PARAGRAPHS}</div></div><footer>&copy; us.</footer>",
+        f"<body><form action=x.aspx><div class=nav>{MENU}</div><div><h1>A flood &amp;c.</h1>{PARAGRAPHS}</div><aside>More, of the same.</aside></form></body>",
+        f"<div class='x-widget'><h1>A flood &amp;c.</h1></div>{''.join(f'<div class=x-widget><p>{p}</p></div>' for p in BODY)}<footer>&copy; us.</footer>",
+        f"<div class=right-sidebar><h1>A flood &amp;c.</h1>{PARAGRAPHS}</div><section id=comments>{COMMENTS}</section>",
+        f"<div class=menu-open><main><h1>A flood &amp;c.</h1>{PARAGRAPHS}</main></div><section id=comments>{COMMENTS}</section>",
+        f"<head><title>x</title><div class=discussion><h1>A flood &amp;c.</h1>{PARAGRAPHS}</div>",
+    ],
+)
+def test_names_do_not_drop_the_article(page):
+    assert main_text(page) == html.unescape(WANT)
+
+
+def test_names_drop_what_is_beside_the_article():
+    assert main_text(f"<article><h1>A flood &amp;c.</h1>{PARAGRAPHS}<section id=comments>{COMMENTS}</section></article>") == html.unescape(WANT)
+    assert main_text(f"<nav>{MENU}</nav>") == ""
+    assert main_text(f"<article><p>So, no.</p></article><footer>&copy; us. {BODY[0]}</footer>") == "So, no."
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p> </p>") == main_text("<script>x</script>") == ""
     assert main_text("just words, no tags") == "just words, no tags"
