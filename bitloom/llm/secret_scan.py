@@ -31,7 +31,7 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are whole, so shorter ones can be left out at once
 
-RUN, PERCENT = re.compile(r"\S+"), re.compile(r"%[0-9A-Fa-f]{2}")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)")
 BASE64, PART = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
 #: A decoded layer of more bytes is not opened; the row then says so in n_unopened. It bounds memory against streams made to swell.
@@ -110,21 +110,23 @@ def _spans(layer: Layer, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     return layer.starts[start:end], layer.ends[start:end]
 
 
-def _from_percent(layer: Layer, m: re.Match) -> Layer | None:
-    run = m.group()
-    starts, ends = _spans(layer, m.start(), m.end())
-    data, low, high, k = bytearray(), [], [], 0
-    while k < len(run):
-        if run[k] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", run[k + 1 : k + 3], re.ASCII):
-            piece, step = bytes([int(run[k + 1 : k + 3], 16)]), 3
-        else:
-            piece, step = run[k].encode(errors="replace"), 1
-        data += piece
-        low += [starts[k]] * len(piece)
-        high += [ends[k + step - 1]] * len(piece)
-        k += step
-    made = _characters(bytes(data), np.array(low), np.array(high))
-    return Layer(*made) if made else None
+def _from_percent(layer: Layer) -> Layer | None:
+    """The whole layer with its runs of percent-encoding replaced, as long as they are text: secrets may be encoded in part."""
+    text, low, high, at = [], [], [], 0
+    starts, ends = _spans(layer, 0, len(layer.text))
+    for m in PERCENT.finditer(layer.text):
+        data = bytes.fromhex(m.group().replace("%", ""))
+        made = _characters(data, starts[m.start() : m.end() : 3], ends[m.start() + 2 : m.end() : 3])
+        if made is None:
+            continue
+        text += [layer.text[at : m.start()], made[0]]
+        low += [starts[at : m.start()], made[1]]
+        high += [ends[at : m.start()], made[2]]
+        at = m.end()
+    if not text:
+        return None
+    text.append(layer.text[at:])
+    return Layer("".join(text), np.concatenate([*low, starts[at:]]), np.concatenate([*high, ends[at:]]))
 
 
 def _from_escapes(layer: Layer) -> Layer | None:
@@ -180,7 +182,7 @@ def layers(text: str) -> Iterator[Layer | None]:
         yield layer
         found: list[Layer | None] = []
         if "%" in layer.text:
-            found += [_from_percent(layer, m) for m in RUN.finditer(layer.text) if PERCENT.search(m.group())]
+            found.append(_from_percent(layer))
         if "\\" in layer.text or "&#" in layer.text:
             found.append(_from_escapes(layer))
         for m in BASE64.finditer(layer.text):

@@ -58,6 +58,12 @@ def test_percent_and_unicode_map_to_characters():
     assert any(k == "assign" for k, _ in spans(mixed))
 
 
+def test_percent_encoded_in_part_after_blanks():
+    assert ("assign", 'password": "%48unter2xyz99') in spans('{"password": "%48unter2xyz99"}')
+    assert ("assign", "secret = abc%64ef123") in spans("say secret = abc%64ef123 now")
+    assert ("assign", "secret%20=%20abcdef123") in spans("say secret%20=%20abcdef123 now")
+
+
 def test_cycles_end():
     assert s.scan("%2525252525" * 50 + "%41" * 9)[2] == 0
     assert s.scan("\\u005cu005c" * 40)[2] == 0
