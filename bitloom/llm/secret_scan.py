@@ -34,6 +34,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are whole, so shorter ones can be lef
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)")
 BASE64, PART = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
+#: Characters that each stand beside a null, as ASCII does in UTF-16 of either byte order.
+WIDE = re.compile(r"(?<!\0)(?:[^\0]\0){4,}|(?<=\0)(?:[^\0]\0){3,}[^\0]")
 #: A decoded layer of more bytes is not opened; the row then says so in n_unopened. It bounds memory against streams made to swell.
 MAX_LAYER_BYTES = 64 << 20
 
@@ -61,16 +63,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _characters(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """Text of UTF-8 bytes with a source span for each byte; None if it isn't printable text."""
+def _characters(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Text of UTF-8 bytes, with a source span for each character, from those of the bytes; each byte that isn't UTF-8 is one U+FFFD."""
     try:
         text = data.decode()
+        lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
     except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\t\n\r" for c in text) < 0.95 * len(text):
-        return None
-    lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    return text, start[lead], np.maximum.reduceat(end, lead)
+        codes = np.frombuffer(data.decode(errors="surrogateescape").encode("utf-32-le", "surrogatepass"), "<u4")
+        odd = (codes >= 0xD800) & (codes < 0xE000)
+        size = np.where(odd, 1, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))
+        lead = np.cumsum(size) - size
+        text = np.where(odd, 0xFFFD, codes).astype("<u4").tobytes().decode("utf-32-le")
+    return text, start[lead], np.maximum.reduceat(end, lead) if len(lead) else end[:0]
 
 
 def _inflated(data: bytes) -> bytes | None:
@@ -111,14 +115,12 @@ def _spans(layer: Layer, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _from_percent(layer: Layer) -> Layer | None:
-    """The whole layer with its runs of percent-encoding replaced, as long as they are text: secrets may be encoded in part."""
+    """The whole layer with its runs of percent-encoding replaced: secrets may be encoded in part."""
     text, low, high, at = [], [], [], 0
     starts, ends = _spans(layer, 0, len(layer.text))
     for m in PERCENT.finditer(layer.text):
         data = bytes.fromhex(m.group().replace("%", ""))
         made = _characters(data, starts[m.start() : m.end() : 3], ends[m.start() + 2 : m.end() : 3])
-        if made is None:
-            continue
         text += [layer.text[at : m.start()], made[0]]
         low += [starts[at : m.start()], made[1]]
         high += [ends[at : m.start()], made[2]]
@@ -148,12 +150,23 @@ def _from_escapes(layer: Layer) -> Layer | None:
     return Layer("".join(text), np.concatenate([*low, starts[at:]]), np.concatenate([*high, ends[at:]]))
 
 
+def _from_wide(layer: Layer) -> Layer | None:
+    """The whole layer with its UTF-16 runs narrowed."""
+    kept = np.ones(len(layer.text), bool)
+    for m in WIDE.finditer(layer.text):
+        kept[m.start() + 1 : m.end() : 2] = False
+    if kept.all():
+        return None
+    starts, ends = _spans(layer, 0, len(layer.text))
+    text = np.frombuffer(layer.text.encode("utf-32-le", "surrogatepass"), "<u4")[kept].tobytes().decode("utf-32-le", "surrogatepass")
+    return Layer(text, starts[kept], ends[kept])
+
+
 def _from_base64(layer: Layer, m: re.Match) -> list[Layer]:
-    """What a run decodes to; if that's nothing, what its parts between / - and _ decode to, as in paths and names."""
-    if made := _decoded_base64(layer, m.start(), m.end()):
-        return [made]
-    parts = [_decoded_base64(layer, p.start() + m.start(), p.end() + m.start()) for p in PART.finditer(m.group()) if p.end() - p.start() < m.end() - m.start()]
-    return [p for p in parts if p]
+    """What a run decodes to, and what its parts between / - and _ decode to, as in paths and names."""
+    made = [_decoded_base64(layer, m.start(), m.end())]
+    made += [_decoded_base64(layer, p.start() + m.start(), p.end() + m.start()) for p in PART.finditer(m.group()) if p.end() - p.start() < m.end() - m.start()]
+    return [p for p in made if p]
 
 
 def _decoded_base64(layer: Layer, start: int, end: int) -> Layer | None:
@@ -170,7 +183,7 @@ def _decoded_base64(layer: Layer, start: int, end: int) -> Layer | None:
     else:
         group = np.arange(len(data)) // 3 * 4
         made = _characters(data, starts[group], ends[np.minimum(group + 3, len(starts) - 1)])
-    return Layer(*made) if made else None
+    return Layer(*made) if made[0] else None
 
 
 def layers(text: str) -> Iterator[Layer | None]:
@@ -185,6 +198,8 @@ def layers(text: str) -> Iterator[Layer | None]:
             found.append(_from_percent(layer))
         if "\\" in layer.text or "&#" in layer.text:
             found.append(_from_escapes(layer))
+        if "\0" in layer.text:
+            found.append(_from_wide(layer))
         for m in BASE64.finditer(layer.text):
             try:
                 found += _from_base64(layer, m)

@@ -64,6 +64,29 @@ def test_percent_encoded_in_part_after_blanks():
     assert ("assign", "secret%20=%20abcdef123") in spans("say secret%20=%20abcdef123 now")
 
 
+def test_layers_that_are_not_plain_text():
+    assert ("assign", "token=%61bcdef123") in spans("https://x/?n=Jos%E9&token=%61bcdef123")
+    for data in (
+        f"say {SECRET} now".encode("utf-16"),
+        f"say é {SECRET} α".encode("utf-16-be"),
+        b"x" + f"say {SECRET}".encode("utf-16-le"),
+        bytes(range(256)) + SECRET.encode() + bytes(range(255, 127, -1)),
+        gzip.compress(bytes(200) + b"\xff\xfe" + SECRET.encode() + bytes(200)),
+    ):
+        run = base64.b64encode(data).decode()
+        found = [run[a:b] for a, k, b in s.scan(run)[1] if k == 0]
+        assert len(found) == 1
+        assert data[:2] == b"\x1f\x8b" or len(found[0]) <= 2.7 * len(SECRET) + 8
+
+
+def test_one_character_for_each_odd_byte():
+    data = "é".encode() + b"\xe9\xff" + "😀z".encode() + b"\xe2\x82"
+    at = s.np.arange(len(data))
+    text, low, high = s._characters(data, at, at + 1)
+    assert text == "é\ufffd\ufffd😀z\ufffd\ufffd"
+    assert low.tolist() == [0, 2, 3, 4, 8, 9, 10] and high.tolist() == [2, 3, 4, 8, 9, 10, 11]
+
+
 def test_cycles_end():
     assert s.scan("%2525252525" * 50 + "%41" * 9)[2] == 0
     assert s.scan("\\u005cu005c" * 40)[2] == 0
