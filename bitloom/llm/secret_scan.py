@@ -1,7 +1,7 @@
 """Secret scans that follow encodings: a worklist of layers, each rescanned, with spans mapped to the source text.
 
 The text itself is the first layer. In every layer, runs of percent-encoding, of Unicode escapes and of base64 are
-decoded; base64 whose bytes are a compressed stream is inflated. What comes out is a new layer unless the same
+decoded; base64 whose bytes are compressed streams is inflated; base64 wrapped in lines is decoded joined, too. What comes out is a new layer unless the same
 characters were seen before in this text (cycle detection), so the worklist reaches a fixpoint. Each character of a layer keeps
 the source span that it came from: single characters through percent and Unicode decoding, groups of four digits through base64, the
 whole run through compression.
@@ -16,8 +16,10 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import zstandard
@@ -34,6 +36,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are whole, so shorter ones can be lef
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)")
 BASE64, PART = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
+#: Base64 wrapped in lines, and its lines.
+WRAPPED, LINE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}"), re.compile(r"[A-Za-z0-9+/_-]+=*")
 #: Characters that each stand beside a null, as ASCII does in UTF-16 of either byte order.
 WIDE = re.compile(r"(?<!\0)(?:[^\0]\0){4,}|(?<=\0)(?:[^\0]\0){3,}[^\0]")
 #: A decoded layer of more bytes is not opened; the row then says so in n_unopened. It bounds memory against streams made to swell.
@@ -77,34 +81,79 @@ def _characters(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[str, n
     return text, start[lead], np.maximum.reduceat(end, lead) if len(lead) else end[:0]
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """The bytes of a compressed stream, None if it is none; OverflowError beyond MAX_LAYER_BYTES."""
-    if data[:2] == b"\x1f\x8b":
-        opened = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-        opened = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        opened = lzma.LZMADecompressor(lzma.FORMAT_XZ)
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-            try:
-                out = reader.read(MAX_LAYER_BYTES + 1)
-            except zstandard.ZstdError:
-                return None
-        if len(out) > MAX_LAYER_BYTES:
-            raise OverflowError
+class Zstandard:
+    """A decompressor of one frame, with the interface of bz2's; input is fed in so small steps that output stays bounded."""
+
+    def __init__(self):
+        self.frame, self.data, self.unused_data = zstandard.ZstdDecompressor().decompressobj(), b"", b""
+
+    eof = property(lambda self: self.frame.eof)
+    needs_input = property(lambda self: not self.data)
+
+    def decompress(self, data: bytes, _: int) -> bytes:
+        data = self.data + data if self.data else data
+        at, out = 0, b""
+        while at < len(data) and not out and not self.eof:
+            out, at = self.frame.decompress(data[at : at + 128]), at + 128
+        if self.eof:
+            self.data, self.unused_data = b"", self.frame.unused_data + data[at:]
+        else:
+            self.data = data[at:]
         return out
-    else:
-        return None
-    try:
-        out = opened.decompress(data, MAX_LAYER_BYTES + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    if len(out) > MAX_LAYER_BYTES:
-        raise OverflowError
-    return out
+
+
+def _decompressor(data: bytes):
+    """What opens the compressed stream that the bytes begin with; None if they begin with none."""
+    if data[:3] == b"\x1f\x8b\x08":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return Zstandard()
+    return None
+
+
+#: Bytes of output asked for at once.
+STEP = 1 << 20
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The output of the compressed streams that the bytes begin with, one after the other, then what follows them. After what can be read of it, a cut
+    stream raises EOFError, a broken one ValueError."""
+    while opened := _decompressor(data):
+        try:
+            while not opened.eof:
+                out = opened.decompress(data, STEP)
+                data = getattr(opened, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                elif not opened.eof and not data and getattr(opened, "needs_input", True):
+                    raise EOFError
+        except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError) as e:
+            raise ValueError from e
+        data = opened.unused_data.lstrip(b"\0")
+    if data:
+        yield b"\n" + data
+
+
+@dataclass
+class Streams:
+    """Source spans of the compressed streams of a text."""
+
+    whole: list[tuple[int, int]] = field(default_factory=list)
+    cut: list[tuple[int, int]] = field(default_factory=list)
+    large: set[tuple[int, int]] = field(default_factory=set)
+
+    def unopened(self) -> int:
+        """How many were not opened to their ends; a cut one inside a whole one, as the first line of a wrapped one, doesn't count."""
+        whole = sorted(self.whole)
+        reach = [0, *accumulate((high for _, high in whole), max)]
+        cut = {low for low, high in self.cut if reach[bisect_right(whole, (low, float("inf")))] < high}
+        return len(cut | {low for low, _ in self.large})
 
 
 def _spans(layer: Layer, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,59 +211,99 @@ def _from_wide(layer: Layer) -> Layer | None:
     return Layer(text, starts[kept], ends[kept])
 
 
-def _from_base64(layer: Layer, m: re.Match) -> list[Layer]:
+def _from_base64(layer: Layer, m: re.Match, streams: Streams) -> Iterator[Layer]:
     """What a run decodes to, and what its parts between / - and _ decode to, as in paths and names."""
-    made = [_decoded_base64(layer, m.start(), m.end())]
-    made += [_decoded_base64(layer, p.start() + m.start(), p.end() + m.start()) for p in PART.finditer(m.group()) if p.end() - p.start() < m.end() - m.start()]
-    return [p for p in made if p]
-
-
-def _decoded_base64(layer: Layer, start: int, end: int) -> Layer | None:
-    digits = layer.text[start:end].rstrip("=").replace("-", "+").replace("_", "/")
+    yield from _decoded_base64(layer, [m.span()], streams)
+    for p in PART.finditer(m.group()):
+        if p.end() - p.start() < m.end() - m.start():
+            yield from _decoded_base64(layer, [(p.start() + m.start(), p.end() + m.start())], streams, True)
+
+
+def _from_wrapped(layer: Layer, m: re.Match, streams: Streams) -> Iterator[Layer]:
+    """What the joined lines decode to: all, and those of one length with and without the line before and the line after, which may be other text."""
+    lines = [p.span() for p in LINE.finditer(layer.text, *m.span())]
+    size = [b - a for a, b in lines]
+    ranges, first = {(0, len(lines))}, 0
+    for k in range(1, len(lines) + 1):
+        if k == len(lines) or size[k] != size[first]:
+            ranges |= {(i, j) for i in (max(0, first - 1), first) for j in (k, min(k + 1, len(lines)))}
+            first = k
+    for i, j in sorted(ranges):
+        if j - i > 1 and sum(size[i:j]) >= 16:
+            yield from _decoded_base64(layer, lines[i:j], streams)
+
+
+def _decoded_base64(layer: Layer, runs: list[tuple[int, int]], streams: Streams, part: bool = False) -> Iterator[Layer]:
+    """What the runs of digits decode to together, inflated if it is compressed; as it is, too, if that fails."""
+    digits = "".join(layer.text[a:b] for a, b in runs).rstrip("=").replace("-", "+").replace("_", "/")
     digits = digits[: len(digits) - (len(digits) % 4 == 1)]
     try:
         data = base64.b64decode(digits + "=" * (-len(digits) % 4))
     except (binascii.Error, ValueError):
-        return None
-    opened = _inflated(data)
-    starts, ends = _spans(layer, start, end)
-    if opened is not None:
-        made = _characters(opened, np.full(len(opened), starts.min()), np.full(len(opened), ends.max()))
-    else:
-        group = np.arange(len(data)) // 3 * 4
-        made = _characters(data, starts[group], ends[np.minimum(group + 3, len(starts) - 1)])
-    return Layer(*made) if made[0] else None
+        return
+    if not data:
+        return
+    starts, ends = (np.concatenate(x) for x in zip(*(_spans(layer, a, b) for a, b in runs), strict=True))
+    if _decompressor(data):
+        low, high = int(starts.min()), int(ends.max())
+        out, size, whole = [], 0, True
+        try:
+            for piece in _inflated(data):
+                out.append(piece)
+                size += len(piece)
+                if size > MAX_LAYER_BYTES:
+                    streams.large.add((low, high))
+                    return
+        except (EOFError, ValueError) as e:
+            whole = False
+            # two bytes are a weak sign of zlib: other data may have them
+            if data[0] != 0x78 or not part and (size or isinstance(e, EOFError)):
+                streams.cut.append((low, high))
+        if whole:
+            streams.whole.append((low, high))
+        if size:
+            text = b"".join(out).decode(errors="replace")
+            yield Layer(text, np.broadcast_to(np.int64(low), len(text)), np.broadcast_to(np.int64(high), len(text)))
+        if whole:
+            return
+    group = np.arange(len(data)) // 3 * 4
+    yield Layer(*_characters(data, starts[group], ends[np.minimum(group + 3, len(starts) - 1)]))
+
+
+def _decoded(layer: Layer, streams: Streams) -> Iterator[Layer | None]:
+    """The layers made from a layer."""
+    if "%" in layer.text:
+        yield _from_percent(layer)
+    if "\\" in layer.text or "&#" in layer.text:
+        yield _from_escapes(layer)
+    if "\0" in layer.text:
+        yield _from_wide(layer)
+    for m in BASE64.finditer(layer.text):
+        yield from _from_base64(layer, m, streams)
+    if "\n" in layer.text:
+        for m in WRAPPED.finditer(layer.text):
+            yield from _from_wrapped(layer, m, streams)
 
 
 def layers(text: str) -> Iterator[Layer | None]:
-    """All layers, the text first; None for one too large to open."""
+    """All layers, the text first; None for each compressed stream that isn't opened whole."""
     seen = {hashlib.sha256(text.encode(errors="surrogatepass")).digest()}
-    todo = [Layer(text, None, None)]
+    todo, streams = [Layer(text, None, None)], Streams()
     while todo:
         layer = todo.pop()
         yield layer
-        found: list[Layer | None] = []
-        if "%" in layer.text:
-            found.append(_from_percent(layer))
-        if "\\" in layer.text or "&#" in layer.text:
-            found.append(_from_escapes(layer))
-        if "\0" in layer.text:
-            found.append(_from_wide(layer))
-        for m in BASE64.finditer(layer.text):
-            try:
-                found += _from_base64(layer, m)
-            except OverflowError:
-                yield None
-        for new in found:
+        for new in _decoded(layer, streams):
             if new is not None:
                 digest = hashlib.sha256(new.text.encode(errors="surrogatepass") + bytes(new.starts[:1].astype(np.int64)) + bytes(new.ends[-1:].astype(np.int64))).digest()
                 if digest not in seen:
                     seen.add(digest)
                     todo.append(new)
+    for _ in range(streams.unopened()):
+        yield None
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans of the text; all spans, decoded ones included, without repeats; layers too large to open. Spans are (start, rank of kind, end), sorted."""
+    """Base spans of the text; all spans, decoded ones included, without repeats; compressed streams not opened whole. Spans are (start, rank of kind, end), sorted."""
     base, every, unopened = [], set(), 0
     for depth, layer in enumerate(layers(text)):
         if layer is None:

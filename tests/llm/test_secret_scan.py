@@ -1,10 +1,15 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import urllib.parse
 import zlib
 
+import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -87,6 +92,41 @@ def test_one_character_for_each_odd_byte():
     assert low.tolist() == [0, 2, 3, 4, 8, 9, 10] and high.tolist() == [2, 3, 4, 8, 9, 10, 11]
 
 
+NOISE = "".join(random.Random(3).choices("ghijklmnopq ", k=3000)).encode()
+PACK = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}
+
+
+def wrapped(data, width, end="\n"):
+    digits = base64.b64encode(data).decode()
+    return end.join(digits[k : k + width] for k in range(0, len(digits), width))
+
+
+@pytest.mark.parametrize("width, end", [(76, "\r\n"), (64, "\n"), (64, "\n  ")])
+def test_base64_in_lines(width, end):
+    for shift in range(0, 60, 7):
+        run = wrapped(b"x" * shift + "é ".encode() * 9 + SECRET.encode() + b" so" * 40, width, end)
+        for text in (f"-----BEGIN KEY-----\n{run}\n-----END KEY-----", f"a file:\n\n{run}\n\nRegards"):
+            found = [text[a:b] for a, k, b in s.scan(text)[1] if k == 0]
+            assert any(SECRET.encode() in base64.b64decode(re.sub(r"\s", "", f) + "===") and f in run for f in found), text
+
+
+@pytest.mark.parametrize("name", PACK)
+def test_streams_are_read_to_their_ends(name):
+    pack, data = PACK[name], NOISE + SECRET.encode()
+    for run in (wrapped(pack(data), 76), base64.b64encode(pack(NOISE) + pack(data)).decode(), wrapped(pack(data), 64) + "\nRegards"):
+        _, every, unopened = s.scan(run)
+        assert [k for _, k, _ in every if k == 0] and not unopened
+    cut = base64.b64encode(pack(data)[:-40]).decode()
+    assert s.scan(cut)[2] == 1
+    assert s.scan(wrapped(pack(data)[:-40], 76))[2] == 1
+
+
+def test_what_can_be_read_of_a_cut_stream_is_scanned():
+    packed = gzip.compress(SECRET.encode() + b" " + NOISE * 9)
+    _, every, unopened = s.scan(base64.b64encode(packed[: len(packed) // 2]).decode())
+    assert any(k == 0 for _, k, _ in every) and unopened == 1
+
+
 def test_cycles_end():
     assert s.scan("%2525252525" * 50 + "%41" * 9)[2] == 0
     assert s.scan("\\u005cu005c" * 40)[2] == 0
