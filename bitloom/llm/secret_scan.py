@@ -40,7 +40,8 @@ BASE64, PART = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-
 WRAPPED, LINE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}"), re.compile(r"[A-Za-z0-9+/_-]+=*")
 #: Characters that each stand beside a null, as ASCII does in UTF-16 of either byte order.
 WIDE = re.compile(r"(?<!\0)(?:[^\0]\0){4,}|(?<=\0)(?:[^\0]\0){3,}[^\0]")
-#: A decoded layer of more bytes is not opened; the row then says so in n_unopened. It bounds memory against streams made to swell.
+#: A stream of more bytes is scanned in windows of so many that overlap by a quarter. It bounds memory against streams made to swell. The row says so in
+#: n_unopened: what is encoded again in a run longer than the overlap is not decoded whole.
 MAX_LAYER_BYTES = 64 << 20
 
 
@@ -142,18 +143,19 @@ def _inflated(data: bytes) -> Iterator[bytes]:
 
 @dataclass
 class Streams:
-    """Source spans of the compressed streams of a text."""
+    """Compressed streams of a layer: the spans of whole ones in it, and of cut ones with a mark; marks of all that the text has are in `unopened`."""
 
+    unopened: set[tuple]
     whole: list[tuple[int, int]] = field(default_factory=list)
-    cut: list[tuple[int, int]] = field(default_factory=list)
-    large: set[tuple[int, int]] = field(default_factory=set)
+    cut: list[tuple[int, int, tuple]] = field(default_factory=list)
+    #: where streams begin that were read already
+    begun: set[int] = field(default_factory=set)
 
-    def unopened(self) -> int:
-        """How many were not opened to their ends; a cut one inside a whole one, as the first line of a wrapped one, doesn't count."""
+    def settle(self) -> None:
+        """A cut one inside a whole one, as the first line of a wrapped one, doesn't count."""
         whole = sorted(self.whole)
-        reach = [0, *accumulate((high for _, high in whole), max)]
-        cut = {low for low, high in self.cut if reach[bisect_right(whole, (low, float("inf")))] < high}
-        return len(cut | {low for low, _ in self.large})
+        reach = [0, *accumulate((end for _, end in whole), max)]
+        self.unopened |= {mark for start, end, mark in self.cut if reach[bisect_right(whole, (start, float("inf")))] < end}
 
 
 def _spans(layer: Layer, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +214,13 @@ def _from_wide(layer: Layer) -> Layer | None:
 
 
 def _from_base64(layer: Layer, m: re.Match, streams: Streams) -> Iterator[Layer]:
-    """What a run decodes to, and what its parts between / - and _ decode to, as in paths and names."""
-    yield from _decoded_base64(layer, [m.span()], streams)
+    """What a run decodes to, and, unless that's plain text or whole streams, what its parts between / - and _ decode to, as in paths and names."""
+    plain = False
+    for new in _decoded_base64(layer, [m.span()], streams):
+        yield new
+        plain = "\ufffd" not in new.text and sum(c.isprintable() or c in "\t\n\r" for c in new.text) >= 0.95 * len(new.text)
+    if plain or streams.whole and streams.whole[-1] == m.span():
+        return
     for p in PART.finditer(m.group()):
         if p.end() - p.start() < m.end() - m.start():
             yield from _decoded_base64(layer, [(p.start() + m.start(), p.end() + m.start())], streams, True)
@@ -228,77 +235,111 @@ def _from_wrapped(layer: Layer, m: re.Match, streams: Streams) -> Iterator[Layer
         if k == len(lines) or size[k] != size[first]:
             ranges |= {(i, j) for i in (max(0, first - 1), first) for j in (k, min(k + 1, len(lines)))}
             first = k
-    for i, j in sorted(ranges):
-        if j - i > 1 and sum(size[i:j]) >= 16:
-            yield from _decoded_base64(layer, lines[i:j], streams)
-
-
-def _decoded_base64(layer: Layer, runs: list[tuple[int, int]], streams: Streams, part: bool = False) -> Iterator[Layer]:
-    """What the runs of digits decode to together, inflated if it is compressed; as it is, too, if that fails."""
+    for i in sorted({i for i, _ in ranges}):
+        runs = [lines[i:j] for j in sorted(j for k, j in ranges if k == i) if j - i > 1 and sum(size[i:j]) >= 16]
+        if runs and _decompressor(_bytes(layer, runs[0])):  # the fewest lines that have the stream's end, else all
+            if _ends(_bytes(layer, lines[i : i + 1])):
+                continue
+            runs = [next((r for r in runs if _ends(_bytes(layer, r))), runs[-1])]
+        for r in runs:
+            yield from _decoded_base64(layer, r, streams)
+
+
+def _bytes(layer: Layer, runs: list[tuple[int, int]]) -> bytes:
+    """What the runs of digits stand for together."""
     digits = "".join(layer.text[a:b] for a, b in runs).rstrip("=").replace("-", "+").replace("_", "/")
     digits = digits[: len(digits) - (len(digits) % 4 == 1)]
     try:
-        data = base64.b64decode(digits + "=" * (-len(digits) % 4))
+        return base64.b64decode(digits + "=" * (-len(digits) % 4))
     except (binascii.Error, ValueError):
-        return
+        return b""
+
+
+def _ends(data: bytes) -> bool:
+    """Whether compressed streams are whole."""
+    try:
+        for _ in _inflated(data):
+            pass
+    except (EOFError, ValueError):
+        return False
+    return True
+
+
+def _decoded_base64(layer: Layer, runs: list[tuple[int, int]], streams: Streams, part: bool = False) -> Iterator[Layer]:
+    """What the runs of digits decode to together, inflated if it is compressed; as it is, too, if that fails."""
+    data = _bytes(layer, runs)
     if not data:
         return
     starts, ends = (np.concatenate(x) for x in zip(*(_spans(layer, a, b) for a, b in runs), strict=True))
     if _decompressor(data):
         low, high = int(starts.min()), int(ends.max())
-        out, size, whole = [], 0, True
+
+        def window(content: bytes) -> Layer:
+            text = content.decode(errors="replace")
+            return Layer(text, np.broadcast_to(np.int64(low), len(text)), np.broadcast_to(np.int64(high), len(text)))
+
+        start, end, mark = runs[0][0], runs[-1][1], (low, data[:12])
+        if start in streams.begun:
+            return
+        streams.begun.add(start)
+        held, size, whole = bytearray(), 0, True
         try:
             for piece in _inflated(data):
-                out.append(piece)
+                held += piece
                 size += len(piece)
-                if size > MAX_LAYER_BYTES:
-                    streams.large.add((low, high))
-                    return
+                while len(held) > MAX_LAYER_BYTES:
+                    streams.unopened.add(mark)
+                    yield window(bytes(held[:MAX_LAYER_BYTES]))
+                    del held[: MAX_LAYER_BYTES - MAX_LAYER_BYTES // 4]
         except (EOFError, ValueError) as e:
             whole = False
             # two bytes are a weak sign of zlib: other data may have them
             if data[0] != 0x78 or not part and (size or isinstance(e, EOFError)):
-                streams.cut.append((low, high))
-        if whole:
-            streams.whole.append((low, high))
-        if size:
-            text = b"".join(out).decode(errors="replace")
-            yield Layer(text, np.broadcast_to(np.int64(low), len(text)), np.broadcast_to(np.int64(high), len(text)))
+                streams.cut.append((start, end, mark))
+        if held:
+            yield window(bytes(held))
         if whole:
+            streams.whole.append((start, end))
             return
     group = np.arange(len(data)) // 3 * 4
     yield Layer(*_characters(data, starts[group], ends[np.minimum(group + 3, len(starts) - 1)]))
 
 
-def _decoded(layer: Layer, streams: Streams) -> Iterator[Layer | None]:
+def _decoded(layer: Layer, unopened: set[tuple]) -> Iterator[Layer | None]:
     """The layers made from a layer."""
+    streams = Streams(unopened)
     if "%" in layer.text:
         yield _from_percent(layer)
     if "\\" in layer.text or "&#" in layer.text:
         yield _from_escapes(layer)
     if "\0" in layer.text:
         yield _from_wide(layer)
-    for m in BASE64.finditer(layer.text):
-        yield from _from_base64(layer, m, streams)
     if "\n" in layer.text:
         for m in WRAPPED.finditer(layer.text):
             yield from _from_wrapped(layer, m, streams)
+    for m in BASE64.finditer(layer.text):
+        yield from _from_base64(layer, m, streams)
+    streams.settle()
 
 
 def layers(text: str) -> Iterator[Layer | None]:
-    """All layers, the text first; None for each compressed stream that isn't opened whole."""
+    """All layers, the text first; None for each compressed stream that isn't opened whole. Layers are made as they are asked for, so few are held at once."""
     seen = {hashlib.sha256(text.encode(errors="surrogatepass")).digest()}
-    todo, streams = [Layer(text, None, None)], Streams()
+    unopened: set[tuple] = set()
+    root = Layer(text, None, None)
+    yield root
+    todo = [_decoded(root, unopened)]
     while todo:
-        layer = todo.pop()
-        yield layer
-        for new in _decoded(layer, streams):
-            if new is not None:
-                digest = hashlib.sha256(new.text.encode(errors="surrogatepass") + bytes(new.starts[:1].astype(np.int64)) + bytes(new.ends[-1:].astype(np.int64))).digest()
-                if digest not in seen:
-                    seen.add(digest)
-                    todo.append(new)
-    for _ in range(streams.unopened()):
+        new = next(todo[-1], todo)
+        if new is todo:
+            todo.pop()
+        elif new is not None:
+            digest = hashlib.sha256(new.text.encode(errors="surrogatepass") + bytes(new.starts[:1].astype(np.int64)) + bytes(new.ends[-1:].astype(np.int64))).digest()
+            if digest not in seen:
+                seen.add(digest)
+                yield new
+                todo.append(_decoded(new, unopened))
+    for _ in unopened:
         yield None
 
 

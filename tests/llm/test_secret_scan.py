@@ -137,6 +137,23 @@ def test_swelling_streams_are_reported(monkeypatch):
     assert s.scan(base64.b64encode(gzip.compress(b"a" * 5000)).decode())[2] == 1
 
 
+def test_swelling_streams_are_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(s, "MAX_LAYER_BYTES", 1000)
+    inner = base64.b64encode(SECRET.encode())
+    for pack in (gzip.compress, zstandard.compress, bz2.compress):
+        for n in (0, 970, 990, 1000, 1740, 4980):
+            for secret in (SECRET.encode(), inner):
+                run = base64.b64encode(pack(b" " * n + secret + b" " * 3000)).decode()
+                _, every, unopened = s.scan(f"a {run} b")
+                assert every == [(2, 0, 2 + len(run.rstrip("=")))] or every == [(2, 0, 2 + len(run))]
+                assert unopened == 1
+
+
+def test_cut_streams_inside_a_whole_one_count():
+    cut = base64.b64encode(gzip.compress(NOISE)[:-40])
+    assert s.scan(base64.b64encode(gzip.compress(b"a " + cut)).decode())[2] == 1
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, SECRET, "x"), (3, SECRET, "x"), (None, "no", "x")], "doc_id long, text string, spans string")
     rows = s.secrets(docs).collect()
