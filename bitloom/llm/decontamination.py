@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from bitloom.llm.tables import arrow_schema, columns, record_batch, release, table, written
 
 WINDOW = 10
+#: Words that may stand between those of a window for a proximity match.
+SLOP = 2
 SHARD_CHARS = 8_000_000
 #: Bytes of benchmark text in one block of phrases: what a broadcast holds.
 BLOCK_BYTES = 16 << 20
@@ -30,6 +32,7 @@ BLOCK_BYTES = 16 << 20
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 INDEX = "shard long, terms binary, counts binary, positions binary, doc_ids array<long>, n_words array<int>, marks array<long>"
 MATCHES = "shard long, slot int, doc_id long, n_words int, mark long, hits array<int>, items array<string>"
+NEAR = ", near array<int>, near_items array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -106,12 +109,27 @@ class Shard:
             starts = starts[(k < len(own)) & (own[np.minimum(k, len(own) - 1)] == starts)]
         return starts
 
+    @staticmethod
+    def _within(own: np.ndarray, around: np.ndarray, width: int) -> np.ndarray:
+        """The positions that are less than width away from one of the others."""
+        low, high = np.searchsorted(own, around - width + 1), np.searchsorted(own, around + width)
+        n = high - low
+        return own[np.unique(np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()))]
+
     def near(self, terms: tuple[bytes, ...], width: int) -> np.ndarray:
         """Positions of the first word of each stretch of at most width words of one document that begins and ends with, and has all of, the terms."""
         lists = [self.postings(t) for t in sorted(set(terms), key=lambda t: self.counts[self.numbers[t]])]
-        rarest = lists[0]
-        starts = np.unique(np.concatenate(lists))
-        k = np.searchsorted(rarest, starts)  # the rarest term first: most starts have none of it near
+        around = rarest = lists[0]  # the rarest term first: at most places the others are not near
+        for own in lists[1:]:
+            if not len(around):
+                break
+            k = np.searchsorted(own, around - width + 1)
+            around = around[(k < len(own)) & (own[np.minimum(k, len(own) - 1)] < around + width)]
+        if not len(around):
+            return around
+        lists = [self._within(own, around, width) for own in lists]
+        starts, rarest = np.unique(np.concatenate(lists)), lists[0]
+        k = np.searchsorted(rarest, starts)
         starts = starts[(k < len(rarest)) & (rarest[np.minimum(k, len(rarest) - 1)] < starts + width)]
         last = starts.copy()
         for own in lists:
@@ -150,34 +168,44 @@ def term_counts(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
     return {bytes(r["term"]): r["n"] for r in found.collect()}  # no more rows than terms asked for
 
 
-def search(index: DataFrame, windows: dict[tuple[bytes, ...], list[str]], slop: int | None = None) -> DataFrame:
+def search(index: DataFrame, windows: dict[tuple[bytes, ...], list[str]], slop: int | None = None, near: int | None = None) -> DataFrame:
     """Per document: the offsets of its words inside matches and the ids of the matching items; documents without any, too.
 
     Matches are exact phrases, or with slop, stretches of at most the phrase's length and slop more words that have all its terms.
+    With near, those of that slop are given besides: the offsets of the words that they begin with, and the items.
     """
     rarity = term_counts(index, {t for w in windows for t in w})
     # phrases with a term that the corpus lacks cannot match
     asked = [(w, tuple(sorted(range(len(w)), key=lambda k: (rarity[w[k]], k))), keys) for w, keys in windows.items() if all(t in rarity for t in w)]
     shared = index.sparkSession.sparkContext.broadcast(asked)  # a block of the benchmark: BLOCK_BYTES
-    schema = arrow_schema(MATCHES)
+    columns_of = MATCHES + (NEAR if near is not None else "")
+    schema = arrow_schema(columns_of)
 
     def matches(number: int, terms: bytes, counts: bytes, positions: bytes, doc_ids: list, n_words: list[int], marks: list[int]) -> list[tuple]:
         shard = Shard(terms, counts, positions, n_words)
-        hit = np.zeros(int(shard.bases[-1]) + 1, bool)
-        items: dict[int, set[str]] = {}
+        kinds = [slop] if near is None else [slop, near]
+        hit = np.zeros((len(kinds), int(shard.bases[-1]) + 1), bool)
+        items: list[dict[int, set[str]]] = [{} for _ in kinds]
         for window, order, keys in shared.value:
             if any(window[k] not in shard.numbers for k in order):
                 continue
-            starts = shard.phrase(window, order) if slop is None else shard.near(window, len(window) + slop)
-            if len(starts):
-                if slop is None:
-                    for k in range(len(window)):
-                        hit[starts + k] = True
-                else:
-                    hit[starts] = True
-                for slot in set((np.searchsorted(shard.bases, starts, "right") - 1).tolist()):
-                    items.setdefault(slot, set()).update(keys)
-        return [(number, slot, key, n, mark, np.flatnonzero(hit[base : base + n]).tolist() if slot in items else [], sorted(items.get(slot, ()))) for slot, (key, n, mark, base) in enumerate(zip(doc_ids, n_words, marks, shard.bases.tolist(), strict=False))]
+            for kind, own, found in zip(kinds, hit, items, strict=True):
+                starts = shard.phrase(window, order) if kind is None else shard.near(window, len(window) + kind)
+                if len(starts):
+                    if kind is None:
+                        for k in range(len(window)):
+                            own[starts + k] = True
+                    else:
+                        own[starts] = True
+                    for slot in set((np.searchsorted(shard.bases, starts, "right") - 1).tolist()):
+                        found.setdefault(slot, set()).update(keys)
+        out = []
+        for slot, (key, n, mark, base) in enumerate(zip(doc_ids, n_words, marks, shard.bases.tolist(), strict=False)):
+            row = [number, slot, key, n, mark]
+            for own, found in zip(hit, items, strict=True):
+                row += [np.flatnonzero(own[base : base + n]).tolist() if slot in found else [], sorted(found.get(slot, ()))]
+            out.append(tuple(row))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,11 +214,12 @@ def search(index: DataFrame, windows: dict[tuple[bytes, ...], list[str]], slop:
                 for start in range(0, len(rows), 2000):
                     yield record_batch(rows[start : start + 2000], schema)
 
-    return index.mapInArrow(run, MATCHES)
+    return index.mapInArrow(run, columns_of)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", size: int = WINDOW, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", size: int = WINDOW, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text", near: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_words, hits (offsets of hit words), items (ids of items with matching windows, sorted as strings), mark (xxhash64 of the text).
+    With near: near (offsets of words that begin a proximity match of that slop), near_items, too.
 
     Items with a null id are left out; null and empty texts have no words and match nothing; repeated rows give repeated rows.
     """
@@ -204,13 +233,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_i
     first = block(0)
     vocabulary = sorted({t for w in first for t in w}) if blocks == 1 else None
     index = written(build_index(docs, vocabulary, id_col, text_col), "index")
-    found = search(index, first, slop)
+    more = [] if near is None else ["near", "near_items"]
+    found = search(index, first, slop, near)
     for k in range(1, blocks):
-        found = found.unionAll(search(index, block(k), slop))
+        found = found.unionAll(search(index, block(k), slop, near))
     if blocks > 1:
         merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        found = found.groupBy("shard", "slot", "doc_id", "n_words", "mark").agg(merged("hits"), merged("items"))
-    return found.select("doc_id", "n_words", "hits", "items", "mark")
+        found = found.groupBy("shard", "slot", "doc_id", "n_words", "mark").agg(*map(merged, ["hits", "items", *more]))
+    return found.select("doc_id", "n_words", "hits", "items", "mark", *more)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -220,7 +250,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=SLOP)
     return found.selectExpr(
         "doc_id",
         "cast(n_words AS long) AS n_words",
@@ -228,4 +258,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(size(items) AS long) AS n_items",
         "sha2(array_join(items, ','), 256) AS items_sha256",
         "size(hits) > 0 AS contaminated",
+        "cast(size(near) AS long) AS n_near",
+        "array_join(near_items, ',') AS near_items",
     )

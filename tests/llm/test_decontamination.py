@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,6 +75,33 @@ def test_proximity(spark):
     assert found == {1, 5}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdx"), max_size=14), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), min_size=1, max_size=5), st.integers(0, 3))
+def test_near_equals_brute_force(docs, window, slop):
+    numbers = {t: [] for t in sorted({w for ws in docs for w in ws})}
+    want, base, width = [], 0, len(window) + slop
+    for ws in docs:
+        for k, w in enumerate(ws):
+            numbers[w].append(base + k)
+            if w in window and set(window) <= set(ws[k : k + width]):
+                want.append(base + k)
+        base += len(ws) + 1
+    if not set(window) <= set(numbers):
+        return
+    gaps = np.concatenate([np.array(v) for v in numbers.values()])
+    shard = d.Shard(" ".join(numbers).encode(), np.array([len(v) for v in numbers.values()], "<i4").tobytes(), np.diff(gaps, prepend=0).astype("<i4").tobytes(), [len(ws) for ws in docs])
+    assert shard.near(tuple(w.encode() for w in window), width).tolist() == want
+
+
+def test_query_has_proximity(spark, tmp_path):
+    window = "one two three four five six seven eight nine ten".split()
+    texts = {1: window, 2: window[:4] + ["x", "y"] + window[4:], 3: window[:3] + [window[4], window[3]] + window[5:], 4: window[:4] + ["x"] * 3 + window[4:], 5: window[1:]}
+    spark.createDataFrame([(k, " ".join(ws)) for k, ws in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(window))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.doc_id: (r.contaminated, r.n_near, r.near_items) for r in d.op9_decontamination(spark, str(tmp_path)).collect()}
+    assert found == {1: (True, 1, "7"), 2: (False, 1, "7"), 3: (False, 1, "7"), 4: (False, 0, ""), 5: (False, 0, "")}
+
+
 def test_query(spark):
     base = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{base}/documents.parquet").collect()]
