@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
+"""N-gram Jaccard join by MinHash LSH banding, verified exactly.
 
 Documents are sets of five-word shingles (a shorter one is one shingle of all its words). Documents with the same set are one class. Each class has a
-signature for each tree of the forest: a string of labels, which are MinHashes. Sorted strings form a prefix trie, and classes
-that share a prefix are candidates. Matched prefixes start at full depth and are shortened until, at the similarity
-sought, the chance that some tree brings a pair together reaches the target recall. All candidates whose sizes allow it
+signature for each band, called tree here: a string of labels, which are MinHashes. Classes that share a prefix of one fixed depth in some band are
+candidates; no forest with prefixes of varying depth is built. The depth is shortened from the full one until, at the similarity
+sought, the chance that some band brings a pair together reaches the target recall. All candidates whose sizes allow it
 are then verified on their whole shingle sets. Classes and the links between them give the groups.
 """
 
