@@ -29,30 +29,32 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return Words([b" ".join(words)]).hashes
 
 
+def _joined(a: np.ndarray, b: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Numbers of runs made of a's run and b's behind it. Shifts between the products keep words of a pattern from cancelling out."""
+    with np.errstate(over="ignore"):
+        out = a >> np.uint64(29)
+        out ^= a
+        out *= base
+        out += b
+    out ^= out >> np.uint64(32)
+    return out
+
+
 def rolled(hashes: np.ndarray, width: int, which: int) -> np.ndarray:
-    """Polynomial hashes, modulo 2^64, of each run of `width` words, from one row of word hashes: O(log width) array steps, by doubling."""
+    """A 64-bit hash of each run of `width` words, from one row of word hashes: O(log width) array steps, by doubling."""
     base, row = BASES[which], hashes[which]
     if len(row) < width:
         return np.zeros(0, np.uint64)
-    out, done, power = None, 0, base  # power: base to the length of `row`'s runs
-    run, size = row, 1
-    at = np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        rest = width
-        while rest:
-            if rest & 1:
-                if out is None:
-                    out, done = run, size
-                else:  # out covers `done` words, then run covers `size` more
-                    n = len(row) - (done + size) + 1
-                    out = out[:n] * power + run[done : done + n]
-                    done += size
-            rest >>= 1
-            if rest:
-                n = len(row) - 2 * size + 1
-                run = run[:n] * power + run[size : size + n] if n > 0 else at
-                power = power * power
-                size *= 2
+    out, done = None, 0
+    run, size, rest = row, 1, width
+    while rest:
+        if rest & 1:  # out covers `done` words, then run covers `size` more
+            out = run if out is None else _joined(out[: len(row) - done - size + 1], run[done:], base)
+            done += size
+        rest >>= 1
+        if rest:
+            run = _joined(run[: len(row) - 2 * size + 1], run[size:], base)
+            size *= 2
     return out[: len(row) - width + 1]
 
 

@@ -1,7 +1,9 @@
 """Hashes of all words of many texts at once, from their bytes, without an object for any word.
 
-A word is a run of bytes other than ASCII white space. Its hash is a polynomial in its bytes modulo 2^64, mixed with its length; two bases
-give 128 bits. Differences of prefix sums give the polynomials of all words of a stretch of text in a few array steps.
+A word is a run of bytes other than ASCII white space. Its 32-bit units and its length, each times a random 64-bit number, are added up modulo 2^64, of which the
+upper half counts; 64 bits of a hash are two such sums with numbers of their own. This family is strongly universal: two different words have equal hashes for one
+in 2^64 choices of the numbers (2^128 for both halves), whatever their structure, as long as they weren't made with knowledge of the numbers. Words of
+more bytes than there are numbers for go through XXH3 with a seed.
 """
 
 from __future__ import annotations
@@ -9,14 +11,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
-# ASCII white space as the contracts have it, and odd bases.
+# ASCII white space as the contracts have it.
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Bytes of a word that there are numbers for, and the seed of these.
+LONGEST, SEED = 32, 0xB17
 #: Bytes hashed together; a longer word is hashed alone.
 STRETCH = 1 << 15
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: by sum, two sums to a half: for the start, the length, and each unit
+NUMBERS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (4, 2 + LONGEST // 4), dtype=np.uint64)
+#: by bytes left of a word, the bits of them
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+UPPER = np.uint64(0xFFFFFFFF00000000)
 
 
 def mixed(x: np.ndarray, by: int) -> np.ndarray:
@@ -25,18 +33,6 @@ def mixed(x: np.ndarray, by: int) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def _tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Powers of each base and of its inverse."""
-    size = STRETCH * 2 if n <= STRETCH * 2 else n
-    if size not in _powers:
-        with np.errstate(over="ignore"):
-            made = [tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64))) for base in BASES]
-        if size != STRETCH * 2:
-            return made
-        _powers[size] = made
-    return _powers[size]
-
-
 def _stretches(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
     """The texts, joined by line breaks, in stretches that end at white space, each with its place."""
     whole = b"\n".join(texts)
@@ -49,11 +45,31 @@ def _stretches(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
         at = end
 
 
+def _hashed(part: bytes, first: np.ndarray, length: np.ndarray, halves: int) -> np.ndarray:
+    """Hashes of the words of a stretch that begin at `first`."""
+    eights = np.ndarray(len(part), "<u8", part + bytes(8), strides=(1,))  # eight bytes from every place
+    numbers = NUMBERS[: 2 * halves]
+    with np.errstate(over="ignore"):
+        sums = [n[0] + length.astype(np.uint64) * n[1] for n in numbers]
+        longest = min(int(length.max(initial=0)), LONGEST)
+        for k in range(0, longest, 8):
+            some = slice(None) if k == 0 else np.flatnonzero(length > k)
+            units = eights[first[some] + k] & MASKS[np.minimum(length[some] - k, 8)]
+            low, high = units & MASKS[4], units >> np.uint64(32)
+            for total, n in zip(sums, numbers, strict=True):
+                total[some] += low * n[2 + k // 4] + high * n[3 + k // 4]
+    out = np.stack([(sums[h] & UPPER) | (sums[h + 1] >> np.uint64(32)) for h in range(0, len(sums), 2)])
+    for k in np.flatnonzero(length > LONGEST).tolist():
+        whole = xxhash.xxh3_128_intdigest(part[first[k] : first[k] + length[k]], SEED)
+        out[:, k] = [whole >> 64, whole & 0xFFFFFFFFFFFFFFFF][:halves]
+    return out
+
+
 class Words:
     """The words of texts, in order."""
 
     def __init__(self, texts: list[bytes], halves: int = 2):
-        starts, lines, hashes, before = [], [], [[] for _ in range(halves)], 0
+        starts, lines, hashes, before = [], [], [], 0
         for at, part in _stretches(texts):
             data = np.frombuffer(part, np.uint8)
             blank = BLANK[data]
@@ -64,21 +80,15 @@ class Words:
             starts.append(first + at)
             lines.append(np.searchsorted(breaks, first) + before)
             before += len(breaks)
-            length = (last - first).astype(np.uint64)
-            value = data.astype(np.uint64)
-            for out, (power, inverse), by in zip(hashes, _tables(len(data)), (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), strict=False):
-                with np.errstate(over="ignore"):
-                    sums = np.zeros(len(data) + 1, np.uint64)
-                    np.cumsum(value * power[: len(data)], out=sums[1:])
-                    out.append(mixed((sums[last] - sums[first]) * inverse[first] + length * np.uint64(by), by))
-        put = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+            hashes.append(_hashed(part, first, last - first, halves))
+        put = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
         #: rows of 64-bit hashes
-        self.hashes = np.stack([put(h, np.uint64) for h in hashes])
+        self.hashes = np.concatenate(hashes, axis=1) if hashes else np.zeros((halves, 0), np.uint64)
         #: number of each word's line among the lines of all texts
-        self.line = put(lines, np.int64)
+        self.line = put(lines)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         #: by text: its first word; one more entry at the end
-        self.first = np.searchsorted(put(starts, np.int64), np.concatenate([[0], np.cumsum(sizes)]))
+        self.first = np.searchsorted(put(starts), np.concatenate([[0], np.cumsum(sizes)]))
 
     def of(self, text: int) -> np.ndarray:
         return self.hashes[:, self.first[text] : self.first[text + 1]]

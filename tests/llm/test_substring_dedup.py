@@ -32,13 +32,33 @@ def test_cover_has_every_difference():
     assert {(a - b) % s.PERIOD for a in s.COVER for b in s.COVER} == set(range(s.PERIOD))
 
 
-def test_rolled_hashes_are_polynomials():
-    h = s.hashes_of([str(k).encode() for k in range(20)])
-    for width in (1, 2, 5, 8, 13, 20):
+def test_runs_of_words_are_equal_where_their_words_are():
+    rng = random.Random(4)
+    words = [rng.choice([b"a", b"b"]) for _ in range(3000)]
+    h = s.hashes_of(words)
+    for width in (1, 2, 5, 8, 13, 35):
         for which in (0, 1):
-            base = int(s.BASES[which])
-            want = [sum(int(h[which][i + j]) * pow(base, width - 1 - j, 1 << 64) for j in range(width)) % (1 << 64) for i in range(21 - width)]
-            assert s.rolled(h, width, which).tolist() == want
+            number = {}
+            found = s.rolled(h, width, which).tolist()
+            assert len(found) == len(words) - width + 1
+            for k, x in enumerate(found):
+                assert number.setdefault(x, tuple(words[k : k + width])) == tuple(words[k : k + width])
+            assert len(set(found)) == len(set(tuple(words[k : k + width]) for k in range(len(found))))
+
+
+def test_runs_of_a_pattern_differ():
+    # the Thue-Morse word over two words, and its complement
+    for n in (16, 64, 1024, 1 << 14):
+        one, other = ([b"xy"[bin(k).count("1") + swap & 1 :][:1] for k in range(n)] for swap in (0, 1))
+        for which in (0, 1):
+            assert s.rolled(s.hashes_of(one), n, which) != s.rolled(s.hashes_of(other), n, which)
+
+
+def test_windows_of_words_of_a_pattern(spark):
+    first, second = ("".join("ab"[bin(k).count("1") + swap & 1] for k in range(1024)) for swap in (0, 1))
+    rest = " ".join(f"w{k}" for k in range(34))
+    docs = spark.createDataFrame([(1, f"{first} {rest}"), (2, f"{second} {rest}")], "doc_id long, text string")
+    assert all(not r.removed for r in s.repeats(docs).collect())
 
 
 def test_keys_in_pairs_with_equal_first_halves():
