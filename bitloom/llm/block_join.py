@@ -1,33 +1,42 @@
-"""Set-similarity joins between blocks of items, without hot keys and without rows for pairs.
+"""Which items of a corpus have a similar one before them: a set-similarity join between blocks, without hot keys and without rows for pairs.
 
-Items are numbered within their block. Filters run in hash buckets over packed records: items with a common key whose sizes fit
-become candidate pairs, sorted by tile, a pair of blocks. A tile then asks its two blocks for the sets of
-the items concerned, each once, and verifies all its pairs. What a task holds is bounded by the sizes of blocks, buckets and tiles; a key that
-very many items share spreads over all tiles. Pairs travel as packed numbers.
+Items are numbered within their block, in order. Each sends a record under every word of its prefix to hash buckets. In a bucket, a record is compared with those
+before it that have its word, first with a few leaders of the word, and only where none fits with all others; what fits first is proposed as its partner. So a
+group of thousands that are nearly alike makes as many proposals as it has members, not as many as it has pairs. A proposal is verified on whole sets at the partner's
+block. Only items whose proposals fail go back to the buckets that made them, and are verified with every partner that fits there. What a task
+holds is bounded by blocks and buckets, whose number grows with the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bitloom.llm.key_exchange import PAIR, alike, ranked
-from bitloom.llm.tables import arrow_schema, map_rows, record_batch
+from bitloom.llm.key_exchange import PAIR, alike
+from bitloom.llm.tables import arrow_schema, record_batch
 
 ENTRIES = "bucket int, block int, records binary"
-TILES = "lo int, hi int, pairs binary"
-TOLD = "block int, kind string, lo int, hi int, data binary"
-SERVED = "lo int, hi int, side int, numbers binary, sizes binary, members binary, marks binary, pairs binary"
-COUPLE = np.dtype([("lo", "<u4"), ("hi", "<u4"), ("n", "<u4")])
-#: Pairs looked at together in one array, and pairs gathered before repeats among them are merged.
-CHUNK, GATHERED = 1 << 19, 1 << 20
-#: Similar sets, unless equal, have at least four members in common; so many of the rarest they must share.
-SHARED = 2
+TOLD = "block int, kind string, data binary"
+SERVED = "place int, block int, numbers binary, sizes binary, members binary, pairs binary"
+#: An item asked for: where its set is to go, and if it is to be verified, with which item there, and which bucket proposes it.
+ASKED = np.dtype([("item", "<u4"), ("place", "<u4"), ("other", "<u4"), ("bucket", "<u4")])
+NONE = np.uint32(0xFFFFFFFF)
+FAILED = np.dtype([("block", "<u4"), ("item", "<u4")])
+FIRSTS = np.dtype([("key", PAIR), ("order", "<i8"), ("item", "<u4")])
+#: Pairs looked at together in one array, and how many leaders of a word the others are compared with before all are.
+CHUNK, LEADERS = 1 << 19, 4
 #: Jaccard similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
+#: Sizes and places in records end here; beyond it filters let pass.
+MOST = 0xFFFF
+
+
+def posting(wide: bool) -> np.dtype:
+    """Records of items under a word: wide if the order of documents takes more than 32 bits."""
+    return np.dtype([("key", "<u4"), ("item", "<u4"), ("n", "<u2"), ("at", "<u2"), ("order", "<u8" if wide else "<u4"), ("bits", "<u8", (2,))])
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -35,9 +44,9 @@ def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
 
 
-def prefix_length(n: np.ndarray, shared: int = SHARED) -> np.ndarray:
-    """So many members, in a common order, of similar sets hold so many common ones; none of sets too small to have a similar one that isn't equal."""
-    return np.where(n < NUMERATOR, 0, n - -(-NUMERATOR * n // DENOMINATOR) + shared)
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    """So many members, in a common order, of similar sets hold a common one; none of sets too small to have a similar one that isn't equal."""
+    return np.where(n < NUMERATOR, 0, n - -(-NUMERATOR * n // DENOMINATOR) + 1)
 
 
 def parcels(block: int, records: np.ndarray, lead: np.ndarray, buckets: int) -> list[tuple]:
@@ -48,121 +57,178 @@ def parcels(block: int, records: np.ndarray, lead: np.ndarray, buckets: int) ->
     return [(k, block, records[order[edges[k] : edges[k + 1]]].tobytes()) for k in range(buckets) if edges[k] < edges[k + 1]]
 
 
-def fitting(records: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices of records with equal key whose sizes n allow the similarity, each pair once, in chunks."""
-    order = np.lexsort((records["n"], records["key"]))
-    key, n = records["key"][order], records["n"][order].astype(np.uint64)
-    run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])).astype(np.uint64) << np.uint64(32)
-    most = np.minimum(n * np.uint64(DENOMINATOR) // np.uint64(NUMERATOR), np.uint64(0xFFFFFFFF))
-    partners = np.searchsorted(run | n, run | most, "right") - np.arange(len(n)) - 1
-    sums = np.cumsum(partners)
-    start = 0
-    while start < len(n):
-        done = sums[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sums, done + CHUNK, "right")))
-        count = partners[start:end]
-        left = np.repeat(np.arange(start, end), count)
-        right = left + 1 + np.arange(len(left)) - np.repeat(sums[start:end] - count - done, count)
-        if len(left):
-            yield order[left], order[right]
-        start = end
-
-
-def paired(entries: DataFrame, kind: np.dtype, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Candidate pairs by tile, with the number of keys of the bucket that they share. Records have key, item, n; keep(left, right) says which pairs of records pass the other filters."""
-    schema = arrow_schema(TILES)
+def _gathered(found: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's records and their blocks."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in found.column("records")]
+    return np.concatenate(parts), np.repeat(np.array(found.column("block").to_pylist(), np.int64), [len(p) for p in parts])
+
+
+def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of records pass the filters: length, position, and bits that the words flip, of which no more can differ than words do."""
+    a, b = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    least = needed(a, b)
+    rest = np.minimum(x["at"], y["at"]) + np.minimum(a - x["at"], b - y["at"])
+    out = (rest >= least) & (np.minimum(a, b) >= least)
+    some = np.flatnonzero(out)
+    out[some] = np.bitwise_count(x["bits"][some] ^ y["bits"][some]).astype(np.int64).sum(1) <= (a + b - 2 * least)[some]
+    return out | (x["n"] == MOST) | (y["n"] == MOST)
+
+
+def _distinct(records: np.ndarray) -> np.ndarray:
+    """The different ones of a few records, sorted."""
+    records = records[np.lexsort([records[f] for f in records.dtype.names[::-1]])]
+    fresh = np.zeros(len(records), bool)
+    fresh[:1] = True
+    for f in records.dtype.names:
+        fresh[1:] |= records[f][1:] != records[f][:-1]
+    return records[fresh]
+
+
+class Bucket:
+    """A bucket's records by word, and in order within each."""
+
+    def __init__(self, found: pa.Table, kind: np.dtype):
+        records, block = _gathered(found, kind)
+        order = np.lexsort((records["item"], block, records["order"], records["key"]))
+        self.records, self.block = records[order], block[order]
+        key = self.records["key"]
+        self.run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        self.first = np.searchsorted(self.run, self.run)
+
+    def before(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs, in chunks, of the places `which` and all places before them of the same word and of a size that may fit, that pass the filters."""
+        n = np.minimum(self.records["n"].astype(np.uint64), MOST)
+        by_size = np.lexsort((n, self.run))
+        size = (self.run[by_size].astype(np.uint64) << np.uint64(32)) | n[by_size]
+        run, own = self.run[which].astype(np.uint64) << np.uint64(32), n[which]
+        low = np.searchsorted(size, run | -(-own.astype(np.int64) * NUMERATOR // DENOMINATOR).astype(np.uint64))
+        high = np.searchsorted(size, run | own * np.uint64(DENOMINATOR) // np.uint64(NUMERATOR) + (own == MOST) * np.uint64(MOST), "right")
+        sums = np.cumsum(high - low)
+        start = 0
+        while start < len(which):
+            done = sums[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sums, done + CHUNK, "right")))
+            count = (high - low)[start:end]
+            x = np.repeat(which[start:end], count)
+            y = by_size[np.repeat(low[start:end] - (sums[start:end] - count - done), count) + np.arange(len(x))]
+            earlier = np.flatnonzero(y < x)
+            x, y = x[earlier], y[earlier]
+            good = np.flatnonzero(fits(self.records[x], self.records[y]))
+            yield x[good], y[good]
+            start = end
+
+    def proposed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of records, each with the place of the first one found before it that may be similar."""
+        n = len(self.records)
+        partner = np.full(n, -1)
+        led = np.unique(self.first)  # of each word, the leader looked at
+        ends = np.append(led[1:], n)
+        free = np.ones(n, bool)
+        free[led] = False
+        for _ in range(LEADERS):
+            x = np.flatnonzero(free)
+            y = led[self.run[x]]
+            later = x > y
+            x, y = x[later], y[later]
+            good = fits(self.records[x], self.records[y])
+            partner[x[good]] = y[good]
+            free[x[good]] = False
+            rest = np.append(np.flatnonzero(free), n)
+            nearest = rest[np.searchsorted(rest, led)]
+            led = np.where(nearest < ends, nearest, led)
+            free[led] = False
+            if not free.any():
+                break
+        open_ = np.flatnonzero((partner < 0) & (self.first < np.arange(n)))
+        for x, y in self.before(open_):
+            least = np.full(n, n)
+            np.minimum.at(least, x, y)
+            at = np.flatnonzero(least < n)
+            partner[at] = least[at]
+        x = np.flatnonzero(partner >= 0)
+        return x, partner[x]
+
+    def asking(self, bucket: int, x: np.ndarray, y: np.ndarray) -> list[tuple]:
+        """TOLD rows of kind "ask": x's set is to go to y's block to be verified with y's."""
+        if not len(x):
+            return []
+        asked = np.zeros(2 * len(x), ASKED)
+        asked["item"] = np.concatenate([self.records["item"][x], self.records["item"][y]])
+        asked["place"] = np.tile(self.block[y], 2)
+        asked["other"] = np.concatenate([self.records["item"][y], np.full(len(y), NONE)])
+        asked["bucket"] = np.repeat([bucket, 0], len(x))
+        block = np.concatenate([self.block[x], self.block[y]])
+        return [(int(b), "ask", _distinct(asked[block == b]).tobytes()) for b in np.unique(block)]
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([record_batch(rows, schema)] if rows else [], schema)
+
+
+def proposals(entries: DataFrame, kind: np.dtype) -> DataFrame:
+    """TOLD rows: what the blocks are to serve, from the postings in buckets."""
+    schema = arrow_schema(TOLD)
 
     def bucket(found: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_buffer(), kind) for x in found.column("records")]
-        records = np.concatenate(parts)
-        block = np.repeat(np.array(found.column("block").to_pylist(), np.int64), [len(p) for p in parts])
-        tiles, couples, gathered = [], [], 0
-        for left, right in fitting(records):
-            at = np.flatnonzero(keep(records[left], records[right]))
-            left, right = left[at], right[at]
-            a, b, x, y = block[left], block[right], records["item"][left], records["item"][right]
-            swap = (a > b) | ((a == b) & (x > y))
-            couple = np.empty(len(left), COUPLE)
-            couple["lo"], couple["hi"], couple["n"] = np.where(swap, y, x), np.where(swap, x, y), 1
-            tiles.append(np.where(swap, b, a) << 32 | np.where(swap, a, b))
-            couples.append(couple)
-            gathered += len(couple)
-            if gathered > GATHERED:
-                tile, couple = merged(np.concatenate(tiles), np.concatenate(couples))
-                tiles, couples, gathered = [tile], [couple], 0
-        if not tiles:
-            return pa.Table.from_batches([], schema)
-        tile, couple = merged(np.concatenate(tiles), np.concatenate(couples))
-        edges = np.flatnonzero(np.diff(tile, prepend=-1, append=-2))
-        rows = [(int(tile[s] >> 32), int(tile[s] & 0xFFFFFFFF), couple[s:e].tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.Table.from_batches([record_batch(rows, schema)] if rows else [], schema)
-
-    return entries.groupBy("bucket").applyInArrow(bucket, TILES)
-
-
-def merged(tile: np.ndarray, couple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs, by tile and items, with their numbers added up."""
-    own = (couple["lo"].astype(np.uint64) << np.uint64(32)) | couple["hi"]
-    order = np.lexsort((own, tile))
-    tile, own, n = tile[order], own[order], couple["n"][order]
-    first = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (own[1:] != own[:-1])])) if len(tile) else np.zeros(0, np.int64)
-    out = np.empty(len(first), COUPLE)
-    out["lo"], out["hi"] = own[first] >> np.uint64(32), own[first] & np.uint64(0xFFFFFFFF)
-    out["n"] = np.add.reduceat(n, first) if len(first) else 0
-    return tile[first], out
-
-
-def requests(tiles: DataFrame) -> DataFrame:
-    """What each block is asked for: TOLD rows of kind "ask", with the pairs."""
-
-    def make():
-        def each(lo: int, hi: int, pairs: bytes) -> Iterator[tuple]:
-            for block in {lo, hi}:
-                yield block, "ask", lo, hi, pairs
-
-        return each
-
-    return map_rows(tiles, make, TOLD)
-
-
-def asked(told: pa.Table, shared: int) -> dict[tuple[int, int], np.ndarray]:
-    """From what a block was told, the pairs of each tile that share enough keys."""
-    out: dict[tuple[int, int], list[np.ndarray]] = {}
-    for kind, lo, hi, data in zip(*(told.column(c).to_pylist() for c in ("kind", "lo", "hi", "data")), strict=True):
-        if kind == "ask":
-            out.setdefault((lo, hi), []).append(np.frombuffer(data, COUPLE))
-    pairs = {k: merged(np.zeros(sum(map(len, v)), np.int64), np.concatenate(v))[1] for k, v in out.items()}
-    return {k: few for k, v in pairs.items() if len(few := v[v["n"] >= shared])}
-
-
-def served(block: int, told: pa.Table, first: np.ndarray, size: np.ndarray, members: np.ndarray, marks: np.ndarray, shared: int = 1) -> list[tuple]:
-    """Answers to requests: item k's members are members[first[k] : first[k] + size[k]], sorted; marks says what else is known of it. The lower block passes the pairs on."""
+        own = Bucket(found, kind)
+        return _table(own.asking(found.column("bucket")[0].as_py(), *own.proposed()), schema)
+
+    return entries.groupBy("bucket").applyInArrow(bucket, TOLD)
+
+
+def others(entries: DataFrame, told: DataFrame, kind: np.dtype) -> DataFrame:
+    """TOLD rows for items whose proposals failed: every partner before them that fits, in the buckets that had made proposals."""
+    schema = arrow_schema(TOLD)
+
+    def bucket(found: pa.Table, told: pa.Table) -> pa.Table:
+        failed = told_items(told, "fail", FAILED)
+        if not len(failed) or not found.num_rows:
+            return _table([], schema)
+        own = Bucket(found, kind)
+        names = np.zeros(len(own.records), FAILED)
+        names["block"], names["item"] = own.block, own.records["item"]
+        which = np.flatnonzero(np.isin(names.view("<u8").ravel(), failed.view("<u8")))
+        number = found.column("bucket")[0].as_py()
+        return _table([row for x, y in own.before(which) for row in own.asking(number, x, y)], schema)
+
+    return entries.groupBy("bucket").cogroup(told.groupBy("block")).applyInArrow(bucket, TOLD)
+
+
+def told_items(told: pa.Table, kind: str, dtype: np.dtype | str = "<u4") -> np.ndarray:
+    """What a block or bucket was told under this kind."""
+    parts = [np.frombuffer(d, dtype) for k, d in zip(told.column("kind").to_pylist(), told.column("data").to_pylist(), strict=True) if k == kind]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def served(block: int, told: pa.Table, first: np.ndarray, size: np.ndarray, members: np.ndarray) -> list[tuple]:
+    """Answers to requests by place: item k's members are members[first[k] : first[k] + size[k]], sorted."""
+    asked = told_items(told, "ask", ASKED)
+    asked = asked[np.lexsort((asked["item"], asked["other"] == NONE, asked["place"]))]
+    part = np.flatnonzero(np.diff(asked["place"].astype(np.int64) * 2 + (asked["other"] == NONE), prepend=-1, append=-1))
     rows = []
-    for (lo, hi), couple in asked(told, shared).items():
-        own = [couple[side] for side, other in (("lo", lo), ("hi", hi)) if other == block]
-        numbers = np.unique(np.concatenate(own))
+    for s, e in zip(part[:-1], part[1:], strict=True):
+        own = asked[s:e]
+        numbers = np.unique(own["item"])
         n = size[numbers]
         at = np.repeat(first[numbers] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        rows.append((lo, hi, int(block != lo), numbers.tobytes(), n.astype("<u4").tobytes(), members[at].astype("<u8").tobytes(), marks[numbers].tobytes(), couple.tobytes() if block == lo else None))
+        rows.append((int(own["place"][0]), block, numbers.tobytes(), n.astype("<u4").tobytes(), members[at].astype("<u8").tobytes(), None if own["other"][0] == NONE else _distinct(own).tobytes()))
     return rows
 
 
 class Side:
-    """One side's items of a tile."""
-
-    def __init__(self, row: list, kind: np.dtype):
-        numbers, sizes, members, marks, _ = row
-        self.numbers = np.frombuffer(numbers, "<u4")
-        self.sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
-        self.members = np.frombuffer(members, "<u8")
-        self.marks = np.frombuffer(marks, kind)
+    """Items with their sets."""
+
+    def __init__(self, rows: list[tuple]):
+        number = [np.frombuffer(r[1], "<u4").astype(np.uint64) | np.uint64(r[0] << 32) for r in rows]
+        self.numbers = np.concatenate(number) if number else np.zeros(0, np.uint64)  # rows come by block
+        self.sizes = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+        self.members = np.concatenate([np.frombuffer(r[3], "<u8") for r in rows]) if rows else np.zeros(0, np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
 
 
-def overlaps(a: Side, b: Side, couple: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each pair, the places of its items and how many members they have in common. Pairs are sorted by `lo`."""
-    left, right = np.searchsorted(a.numbers, couple["lo"]), np.searchsorted(b.numbers, couple["hi"])
-    common = np.zeros(len(couple), np.int64)
+def overlaps(a: Side, b: Side, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many members the items have in common, pair by pair; `left` is sorted."""
+    common = np.zeros(len(left), np.int64)
     edges = np.flatnonzero(np.diff(left, prepend=-1, append=-1))
     for s, e in zip(edges[:-1], edges[1:], strict=True):
         own = a.members[a.starts[left[s]] : a.starts[left[s] + 1]]
@@ -172,66 +238,65 @@ def overlaps(a: Side, b: Side, couple: np.ndarray) -> tuple[np.ndarray, np.ndarr
         other = b.members[at]
         hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
         common[s:e] = np.add.reduceat(hit, ends - n)
-    return left, right, common
-
-
-def verified(answers: DataFrame, kind: np.dtype, each: Callable[[np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
-    """each(marks of one item, marks of the other) over the pairs of a tile that are similar. Sets are never empty."""
-    kinds = arrow_schema(schema)
-
-    def tile(given: pa.Table) -> pa.Table:
-        rows = {side: row for side, *row in zip(*(given.column(c).to_pylist() for c in ("side", "numbers", "sizes", "members", "marks", "pairs")), strict=True)}
-        couple = np.frombuffer(rows[0][-1], COUPLE)
-        a = Side(rows[0], kind)
-        b = Side(rows[1], kind) if 1 in rows else a
-        left, right, common = overlaps(a, b, couple)
-        good = common >= needed(a.sizes[left], b.sizes[right])
-        out = each(a.marks[left[good]], b.marks[right[good]])
-        return pa.Table.from_batches([record_batch(out, kinds)] if out else [], kinds)
-
-    return answers.groupBy("lo", "hi").applyInArrow(tile, schema)
+    return common
 
 
-FIRSTS = np.dtype([("key", PAIR), ("order", "<i8"), ("line", "<i4")])
-
+def verified(answers: DataFrame) -> DataFrame:
+    """TOLD rows: of kind "near", the items of a block that have a similar one before them; of kind "fail", for a bucket, those that haven't the one it proposed. Sets are never empty."""
+    schema = arrow_schema(TOLD)
 
-def first_parcels(block: int, keys: np.ndarray, order: np.ndarray, line: np.ndarray, buckets: int) -> list[tuple]:
-    """A block's distinct keys, each with its first place there, by bucket."""
+    def place(given: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(given.column(c).to_pylist() for c in ("block", "numbers", "sizes", "members", "pairs")), strict=True), key=lambda r: r[0])
+        a, b = Side([r for r in rows if r[4] is None]), Side([r for r in rows if r[4] is not None])
+        block = np.concatenate([np.repeat(r[0], len(r[4]) // ASKED.itemsize) for r in rows if r[4] is not None])
+        pairs = np.concatenate([np.frombuffer(r[4], ASKED) for r in rows if r[4] is not None])
+        own = (block.astype(np.uint64) << np.uint64(32)) | pairs["item"]
+        order = np.lexsort((own, pairs["other"]))
+        pairs, own, block = pairs[order], own[order], block[order]
+        # several buckets may propose one pair
+        fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (pairs["other"][1:] != pairs["other"][:-1])])
+        left = np.searchsorted(a.numbers & np.uint64(0xFFFFFFFF), pairs["other"][fresh])
+        right = np.searchsorted(b.numbers, own[fresh])
+        good = (overlaps(a, b, left, right) >= needed(a.sizes[left], b.sizes[right]))[np.cumsum(fresh) - 1]
+        out = [(int(k), "near", np.unique(pairs["item"][good & (block == k)]).tobytes()) for k in np.unique(block[good])]
+        failed = ~good & ~np.isin(own, own[good])
+        names = np.zeros(len(pairs), FAILED)
+        names["block"], names["item"] = block, pairs["item"]
+        out += [(int(k), "fail", names[failed & (pairs["bucket"] == k)].tobytes()) for k in np.unique(pairs["bucket"][failed])]
+        return _table(out, schema)
+
+    return answers.groupBy("place").applyInArrow(place, TOLD)
+
+
+def first_parcels(block: int, keys: np.ndarray, order: np.ndarray, buckets: int) -> list[tuple]:
+    """A block's distinct keys, by item, each with the order of its document, by bucket."""
     records = np.zeros(len(keys), FIRSTS)
-    records["key"], records["order"], records["line"] = keys, order, line
+    records["key"], records["order"], records["item"] = keys, order, np.arange(len(keys))
     return parcels(block, records, keys["a"], buckets)
 
 
 def later(entries: DataFrame) -> DataFrame:
-    """TOLD rows of kind "later": the keys of which a block does not hold the first place. Ties go to the lower block."""
+    """TOLD rows of kind "later": the items of a block whose key stands before them, in an earlier document or in a lower block."""
     schema = arrow_schema(TOLD)
 
     def bucket(found: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_buffer(), FIRSTS) for x in found.column("records")]
-        records = np.concatenate(parts)
-        block = np.repeat(np.array(found.column("block").to_pylist(), np.int64), [len(p) for p in parts])
-        order = np.lexsort((block, records["line"], records["order"], records["key"]["b"], records["key"]["a"]))
+        records, block = _gathered(found, FIRSTS)
+        order = np.lexsort((block, records["order"], records["key"]["b"], records["key"]["a"]))
         repeat = np.zeros(len(records), bool)
         repeat[order[1:]] = alike(records["key"][order])
-        rows = [(int(b), "later", None, None, np.ascontiguousarray(records["key"][repeat & (block == b)]).tobytes()) for b in np.unique(block[repeat])]
-        return pa.Table.from_batches([record_batch(rows, schema)] if rows else [], schema)
+        return _table([(int(b), "later", records["item"][repeat & (block == b)].tobytes()) for b in np.unique(block[repeat])], schema)
 
     return entries.groupBy("bucket").applyInArrow(bucket, TOLD)
 
 
-def told_keys(told: pa.Table, kind: str) -> np.ndarray:
-    """The sorted keys that a block was told under this kind."""
-    parts = [np.frombuffer(d, PAIR) for k, d in zip(told.column("kind").to_pylist(), told.column("data").to_pylist(), strict=True) if k == kind]
-    keys = np.concatenate(parts) if parts else np.zeros(0, PAIR)
-    return keys[ranked(keys)]
-
-
 def distinct_keys(keys: np.ndarray, order: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct key stands first, by key: item k of the block; and the item of every position."""
+    """Where each distinct key stands first, in order: item k of the block; and the item of every position."""
     ranks = np.lexsort((line, order, keys["b"], keys["a"]))
     fresh = np.concatenate([[True], ~alike(keys[ranks])]) if len(keys) else np.zeros(0, bool)
+    firsts = ranks[fresh]
+    by_order = np.lexsort((line[firsts], order[firsts]))
+    number = np.empty(len(firsts), np.int64)
+    number[by_order] = np.arange(len(firsts))
     item = np.empty(len(keys), np.int64)
-    item[ranks] = np.cumsum(fresh) - 1
-    return ranks[fresh], item
-
-
+    item[ranks] = number[np.cumsum(fresh) - 1]
+    return firsts[by_order], item

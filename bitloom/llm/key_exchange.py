@@ -8,10 +8,12 @@ the corpus. Rows depend on keys alone, so a lost task may be done again, whateve
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,9 +115,40 @@ def opened(table: pa.Table, kind: np.dtype) -> np.ndarray:
     return keys[ranked(keys)]
 
 
-def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """docs with the number of a block, by the hash of the whole row."""
-    return docs.withColumn("block", F.pmod(F.xxhash64(*docs.columns), F.lit(n_blocks)).cast("int"))
+#: Rows alike in all columns go to a block from so many tasks, and so many from each task; the others to other blocks.
+TASKS, COPIES = 256, 16
+
+
+def in_blocks(docs: DataFrame, n_blocks: int, text: str = "text") -> DataFrame:
+    """docs with the number of a block, by the hash of the columns `key` and `text`, and with the text as packed bytes, of which an exchange has less to write.
+
+    Rows that are alike in both spread over blocks by task and by how many a task has had before, which is the same for them in any order.
+    """
+    at, names = docs.columns.index(text), [*docs.columns, "block"]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema} | {text: "binary", "block": "int"}
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        pack, seen, task = zstandard.ZstdCompressor(level=1), {}, TaskContext.get().partitionId() // TASKS
+        for batch in batches:
+            blocks = []
+            for h in batch.column(batch.num_columns - 1).to_pylist():
+                seen[h] = copies = seen.get(h, -1) + 1
+                blocks.append((h + (task << 20) * 0x9E3779B1 + copies // COPIES * 0x85EBCA77) % n_blocks if copies >= COPIES or task else h % n_blocks)
+            packed = [None if t is None else pack.compress(t.encode()) for t in batch.column(at).to_pylist()]
+            parts = [*batch.columns[:-1], pa.array(blocks, pa.int32())]
+            parts[at] = pa.array(packed, pa.binary())
+            yield pa.RecordBatch.from_arrays(parts, schema=schema)
+
+    return docs.withColumn("block", F.xxhash64("key", text)).mapInArrow(run, ddl)
+
+
+def unpacked(column: pa.ChunkedArray) -> list[bytes | None]:
+    """The texts of an in_blocks() column."""
+    pack = zstandard.ZstdDecompressor()
+    return [None if x is None else pack.decompress(x) for x in column.to_pylist()]
 
 
 def per_block(docs: DataFrame, live: DataFrame | None, each: Callable[[int, pa.Table, pa.Table | None], list[tuple]], schema: str) -> DataFrame:

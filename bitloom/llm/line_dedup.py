@@ -4,9 +4,10 @@ A line is the set of its words. It is removed if a line before it, by document i
 0.8 or more to it, wherever that line is and whether or not it is removed itself; of equal sets the first stays. Lines without words stay.
 
 Sets are joined by prefix filtering: the words of a line are ordered by rarity, and similar lines share a word among the rarest
-few; two of them, in fact, with prefixes one longer, as lines that are similar without being equal have four words in common. Rarity is how often a word stands in all documents, counted in a table of fixed size in which words share
-places by hash: any common order gives exact results, this one short lists. Pairs that share two words of their prefixes pass a length filter, a positional filter (what
-stands before and after a shared word must be enough) and a filter on bits that the words flip, of which no more can differ than words do. They are then verified on whole sets.
+few. Rarity is how often a word stands in all documents, counted in a table of fixed size in which words share
+places by hash: any common order gives exact results, this one short lists. Lines that share a word of their prefixes pass a length filter, a positional filter (what
+stands before and after the word must be enough) and a filter on bits that the words flip, of which no more can differ than words do. A line needs one earlier partner to
+go, so the first that passes is verified on whole sets, and the others only if that fails (block_join).
 """
 
 from __future__ import annotations
@@ -16,29 +17,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.block_join import ENTRIES, SERVED, SHARED, TOLD, distinct_keys, first_parcels, later, needed, paired, parcels, prefix_length, requests, served, told_keys, verified
-from bitloom.llm.key_exchange import PAIR, blocks_for, contains, per_block
-from bitloom.llm.tables import arrow_schema, record_batch, release, scan_bytes, table
+from bitloom.llm.block_join import ENTRIES, MOST, SERVED, TOLD, distinct_keys, first_parcels, later, others, parcels, posting, prefix_length, proposals, served, told_items, verified
+from bitloom.llm.key_exchange import PAIR, blocks_for, in_blocks, per_block, unpacked
+from bitloom.llm.tables import arrow_schema, record_batch, release, table
 from bitloom.llm.word_hashes import Words, mixed
 
-#: Places of the table of word counts: 4 MB as levels.
+#: Places of the table of word counts: 4 MB as levels. It is added up in slices, and in so many tasks' parts first.
 PLACES = 1 << 22
-#: Text of one block. A line of a large group goes to as many tiles as there are blocks, so smaller blocks mean more to send.
+SLICES, PARTS = 64, 1024
 BLOCK_BYTES = 8 << 20
-SLICES = 64
-POSTING = np.dtype([("key", "<u4"), ("item", "<u4"), ("n", "<u4"), ("at", "<u4"), ("bits", "<u8", (2,))])
-MARK = np.dtype([("key", PAIR), ("order", "<i8"), ("line", "<i4"), ("block", "<i4")])
 LAST = np.iinfo(np.int64).max
 
 
 class Lines:
     """The lines of a block of documents, as distinct words of each line: line numbers and hashes, sorted by both."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]]):
-        raw = [(text or "").encode() for _, text in rows]
+    def __init__(self, rows: list[tuple[int | None, bytes | None]]):
+        raw = [text or b"" for _, text in rows]
         found = Words(raw, 1)
         owner, hashes = found.line, found.hashes[0]
         counts = np.array([t.count(b"\n") + 1 for t in raw], np.int64)
@@ -86,40 +85,41 @@ def _by_rarity(owner: np.ndarray, level: np.ndarray, hashes: np.ndarray) -> np.n
     return np.lexsort((hashes, level, owner))
 
 
-def _rows(own: pa.Table) -> list[tuple[int | None, str | None]]:
-    return list(zip(own.column("key").to_pylist(), own.column("text").to_pylist(), strict=True))
+def _rows(own: pa.Table) -> list[tuple[int | None, bytes | None]]:
+    return list(zip(own.column("key").to_pylist(), unpacked(own.column("text")), strict=True))
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """For each place of the table, a level that grows with how often its words stand in all texts; 0 for once or never. docs: text."""
-    schema = arrow_schema("slice int, counts binary")
+    parts = "slice int, part int, counts binary"
+    schema = arrow_schema(parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        total = np.zeros(PLACES, np.uint32)
+        total = np.zeros(PLACES, np.uint64)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 hashes = Words([(t or "").encode() for t in batch.column(0).slice(start, 256).to_pylist()], 1).hashes[0]
-                np.add.at(total, (hashes % np.uint64(PLACES)).astype(np.int64), np.uint32(1))
+                np.add.at(total, (hashes % np.uint64(PLACES)).astype(np.int64), np.uint64(1))
         pack = zstandard.ZstdCompressor(level=1)
         if total.any():
-            yield record_batch([(k, pack.compress(part.tobytes())) for k, part in enumerate(np.split(total, SLICES))], schema)
+            yield record_batch([(k, TaskContext.get().partitionId() // PARTS, pack.compress(part.tobytes())) for k, part in enumerate(np.split(total, SLICES))], schema)
 
     def add(found: pa.Table) -> pa.Table:
-        total = np.zeros(PLACES // SLICES, np.uint64)
+        pack, total = zstandard.ZstdDecompressor(), np.zeros(PLACES // SLICES, np.uint64)
         for x in found.column("counts"):
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint32)
-        levels = np.minimum(255, np.ceil(8 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
-        return pa.Table.from_batches([record_batch([(found.column("slice")[0].as_py(), levels.tobytes())], schema)], schema)
+            total += np.frombuffer(pack.decompress(x.as_py()), np.uint64)
+        return pa.Table.from_batches([record_batch([(found.column("slice")[0].as_py(), found.column("part")[0].as_py(), zstandard.ZstdCompressor(level=1).compress(total.tobytes()))], schema)], schema)
 
-    parts = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    added = docs.select("text").mapInArrow(count, parts).groupBy("slice", "part").applyInArrow(add, parts).groupBy("slice").applyInArrow(add, parts)
     levels = np.zeros(PLACES, np.uint8)
-    for row in parts.collect():  # SLICES rows, PLACES bytes
-        levels[row["slice"] * (PLACES // SLICES) : (row["slice"] + 1) * (PLACES // SLICES)] = np.frombuffer(row["counts"], np.uint8)
+    for row in added.collect():  # SLICES rows, a few bytes for each place
+        counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), np.uint64)
+        levels[row["slice"] * len(counts) : (row["slice"] + 1) * len(counts)] = np.minimum(255, np.ceil(8 * np.log2(np.maximum(counts, 1))))
     return levels
 
 
-def postings(found: Lines, items: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def postings(found: Lines, items: np.ndarray, levels: np.ndarray, kind: np.dtype, lowest: int) -> tuple[np.ndarray, np.ndarray]:
     """Records of the prefixes of the given items, and the hash each goes by. Words that stand nowhere else are left out."""
     lines = found.item_line[items]
     n = found.n[lines]
@@ -137,90 +137,88 @@ def postings(found: Lines, items: np.ndarray, levels: np.ndarray) -> tuple[np.nd
     place = np.arange(len(rank)) - np.repeat(starts, n)
     chosen = (place < np.repeat(prefix_length(n), n)) & (level[rank] > 0)
     rank, place = rank[chosen], place[chosen]
-    records = np.zeros(len(rank), POSTING)
+    records = np.zeros(len(rank), kind)
     lead = mixed(hashes[rank], 0x9FB21C651E98DF25)
-    records["key"], records["item"], records["n"], records["at"] = (lead >> np.uint64(32)).astype(np.uint32), items[owner[rank]], n[owner[rank]], place
-    records["bits"] = bits[owner[rank]]
+    own = owner[rank]
+    records["key"], records["item"] = (lead >> np.uint64(32)).astype(np.uint32), items[own]
+    records["n"], records["at"], records["bits"] = np.minimum(n[own], MOST), np.minimum(place, MOST), bits[own]
+    order = found.order[lines][own]
+    records["order"] = np.where(order == LAST, np.iinfo(kind["order"]).max, order.astype(np.uint64) - np.uint64(lowest % (1 << 64)))
     return records, lead & np.uint64(0xFFFFFFFF)
 
 
-def _may_match(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    a, b = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    least = needed(a, b)
-    rest = np.minimum(x["at"], y["at"]) + np.minimum(a - x["at"], b - y["at"])
-    differ = np.bitwise_count(x["bits"] ^ y["bits"]).astype(np.int64).sum(1)
-    return (rest >= least) & (differ <= a + b - 2 * least)
-
-
-def _losers(x: np.ndarray, y: np.ndarray) -> list[tuple]:
-    """TOLD rows of kind "near": of each pair, the later line's key, told to its block."""
-    if not len(x):
-        return []
-    first = (x["order"] < y["order"]) | ((x["order"] == y["order"]) & ((x["line"] < y["line"]) | ((x["line"] == y["line"]) & (x["block"] < y["block"]))))
-    lost = np.where(first, y, x)
-    return [(int(b), "near", None, None, np.unique(np.ascontiguousarray(lost["key"][lost["block"] == b])).tobytes()) for b in np.unique(lost["block"])]
+def _extent(own: DataFrame) -> tuple[int, int, bool]:
+    """Bytes of all texts, the least id, and whether ids are too far apart for 32 bits."""
+    size, low, high = own.agg(F.sum(F.octet_length("text").cast("long")), F.min("key"), F.max("key")).first()
+    return size or 0, low or 0, (high or 0) - (low or 0) >= (1 << 32) - 1
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """All rows and columns of docs (the id as a long, the text as a string), and n_lines, removed (numbers of the removed lines), kept_text (the lines left, joined by line breaks).
 
     A line is what stands between line breaks. A null text has no lines and stays null, an empty one has one, empty, line. A null id comes after all
-    others; lines of equal place, in rows with one id, are ordered by their rows' blocks, in one block either may stay.
+    others. Of rows with one id, those in one block, which follows from the hash of id and text, are gone through line by line together, then the next block's; of lines of equal
+    place the one with the lesser hash comes first, and of rows that are alike either may keep its lines. The last three columns have these names even where docs has them, too.
     """
     names = [{id_col: "key", text_col: "text"}.get(c, f"c{k}") for k, c in enumerate(docs.columns)]
     own = docs.toDF(*names).withColumns({"key": F.col("key").cast("long"), "text": F.col("text").cast("string")})
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    n = blocks_for(scan_bytes(own, "text"), block_bytes or BLOCK_BYTES)
-    # all steps read one exchange of the documents
-    own = own.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("int"))
+    size, lowest, wide = _extent(own)
+    n, kind = blocks_for(size, block_bytes or BLOCK_BYTES), posting(wide)
     # PLACES bytes, whatever the corpus
     shared = docs.sparkSession.sparkContext.broadcast(rarity(own))
+    # all steps read one exchange of the documents
+    own = in_blocks(own, n)
 
     def send_keys(block: int, rows: pa.Table, _: None) -> list[tuple]:
         found = Lines(_rows(rows))
-        at = found.item_line
-        return first_parcels(block, found.item_keys, found.order[at], found.line[at], n)
+        return first_parcels(block, found.item_keys, found.order[found.item_line], n)
 
     def send_postings(block: int, rows: pa.Table, told: pa.Table) -> list[tuple]:
         found = Lines(_rows(rows))
-        items = np.flatnonzero(~contains(told_keys(told, "later"), found.item_keys))
-        return parcels(block, *postings(found, items, shared.value), n)
+        items = np.setdiff1d(np.arange(len(found.item_keys)), told_items(told, "later"))
+        return parcels(block, *postings(found, items, shared.value, kind, lowest), n)
 
     def serve(block: int, rows: pa.Table, told: pa.Table) -> list[tuple]:
         if not told.num_rows:
             return []
         found = Lines(_rows(rows))
-        at = found.item_line
-        marks = np.zeros(len(at), MARK)
-        marks["key"], marks["order"], marks["line"], marks["block"] = found.item_keys, found.order[at], found.line[at], block
-        return served(block, told, found.first[at], found.n[at], found.hashes, marks, SHARED)
+        return served(block, told, found.first[found.item_line], found.n[found.item_line], found.hashes)
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", n_lines int, removed array<int>, kept_text string"
 
     def cut(block: int, rows: pa.Table, told: pa.Table) -> list[tuple]:
-        found = Lines(_rows(rows))
-        gone = contains(told_keys(told, "later"), found.item_keys) | contains(told_keys(told, "near"), found.item_keys)
-        is_first = np.zeros(len(found.n), bool)
-        is_first[found.item_line] = True
-        lost = (found.item >= 0) & (~is_first | (gone[found.item] if len(gone) else False))
+        texts = unpacked(rows.column("text"))
+        found = Lines(list(zip(rows.column("key").to_pylist(), texts, strict=True)))
+        gone = np.zeros(len(found.item_keys), bool)
+        gone[told_items(told, "later")] = gone[told_items(told, "near")] = True
+        lost = found.item >= 0
+        lost[found.item_line] = False  # copies in the block go, and so do the first ones that others stand before
+        lost[found.item_line[gone]] = True
         out, k = [], 0
-        for values, text in zip(zip(*(rows.column(c).to_pylist() for c in names), strict=True), rows.column("text").to_pylist(), strict=True):
-            lines, was = (text or "").split("\n"), text is None
-            mine = lost[k : k + len(lines)]
+        values = [[t if t is None else t.decode() for t in texts] if c == "text" else rows.column(c).to_pylist() for c in names]
+        for row, text in zip(zip(*values, strict=True), values[names.index("text")], strict=True):
+            lines = (text or "").split("\n")
+            mine = lost[k : k + len(lines)].tolist()
             k += len(lines)
-            out.append((*values, 0 if was else len(lines), np.flatnonzero(mine).tolist(), None if was else "\n".join([x for x, y in zip(lines, mine.tolist(), strict=True) if not y])))
+            kept = None if text is None else "\n".join([x for x, y in zip(lines, mine, strict=True) if not y]) if any(mine) else text
+            out.append((*row, 0 if text is None else len(lines), np.flatnonzero(mine).tolist(), kept))
         return out
 
     again = later(per_block(own, None, send_keys, ENTRIES))
-    tiles = paired(per_block(own, again, send_postings, ENTRIES), POSTING, _may_match)
-    near = verified(per_block(own, requests(tiles), serve, SERVED), MARK, _losers, TOLD)
-    found = per_block(own, again.unionAll(near), cut, schema)
+    entries = per_block(own, again, send_postings, ENTRIES)
+    near = verified(per_block(own, proposals(entries, kind), serve, SERVED))
+    rest = others(entries, near, kind)
+    asked = own.join(rest.select("block").distinct(), "block", "left_semi")  # as a rule no blocks
+    last = verified(per_block(asked.select(own.columns), rest, serve, SERVED))
+    # what failed goes by buckets, which have the numbers of blocks: blocks pass it over
+    found = per_block(own, again.unionAll(near).unionAll(last), cut, schema)
     return found.toDF(*docs.columns, "n_lines", "removed", "kept_text")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.selectExpr(
+    names = ["doc_id", "text", "n_lines", "removed", "kept_text"]
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).toDF(*names).selectExpr(
         "doc_id",
         "cast(n_lines AS long) AS n_lines",
         "cast(size(removed) AS long) AS n_removed",

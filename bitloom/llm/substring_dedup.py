@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm.key_exchange import KEYS, PAIR, blocks_for, contains, in_blocks, opened, packed_keys, per_block, repeated
+from bitloom.llm.key_exchange import KEYS, PAIR, blocks_for, contains, in_blocks, opened, packed_keys, per_block, repeated, unpacked
 from bitloom.llm.tables import columns, scan_bytes, table
 from bitloom.llm.word_hashes import Words
 
@@ -85,7 +85,7 @@ def window_keys(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW) ->
 
 
 def _bytes(own: pa.Table) -> list[bytes]:
-    return [(t or "").encode() for t in own.column("text").to_pylist()]
+    return [t or b"" for t in unpacked(own.column("text"))]
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, block_bytes: int | None = None) -> DataFrame:
