@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,13 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on: whatever names it has, repeated ones or such as differ in case alone, none clashes."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
-    """Just the named columns under fixed names, with the casts given: id="doc_id:long". Other columns, however named, are left out."""
-    out = []
+    """Just the named columns under fixed names, with the casts given: id="doc_id:long". Other columns, however named, are left out.
+
+    Names are taken as they are written; of columns with one name the first counts, and where none is written so, one that differs in case alone.
+    """
+    names, own, out = df.columns, positional(df), []
     for name, source in wanted.items():
         column, _, kind = source.partition(":")
-        out.append(df[f"`{column}`"].cast(kind or "string").alias(name))
-    return df.select(out)
+        at = names.index(column) if column in names else [n.lower() for n in names].index(column.lower())
+        out.append(own[f"c{at}"].cast(kind or "string").alias(name))
+    return own.select(out)
 
 
 def arrow_schema(schema: str) -> pa.Schema:
@@ -73,9 +83,11 @@ def record_batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share; a temporary one only where the session names none."""
+    """The folder that all machines share; a temporary one where the session names none and runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="bitloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

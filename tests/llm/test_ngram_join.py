@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from bitloom.llm import minhash_forest as f
 from bitloom.llm import ngram_join as j
 from bitloom.llm.components import components
 
@@ -59,18 +60,98 @@ def test_nulls_and_repeated_rows(spark):
     assert j.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(1, "a b c d e f", "x", 3, "T"), (2, "a b c d e f", "y", 4, "T"), (3, "z", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, u string, key int, TEXT string")
+    got = j.representatives(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
 def test_depth_and_recall():
-    depth = j.matched_depth()
-    assert j.recall(depth) >= j.RECALL > j.recall(depth + 1)
+    depth = f.matched_depth()
+    assert f.recall(depth) >= f.RECALL > f.recall(depth + 1)
+    assert f.depth_for(6) > f.depth_for(5) == f.depth_for(1000) == depth
+
+
+def test_trie_matches_all_common_prefixes():
+    rng = np.random.default_rng(3)
+    records = np.zeros(400, f.RECORD)
+    records["own"]["a"] = rng.permutation(400)
+    digits = rng.integers(0, 3, (400, f.DEPTH)).astype(np.uint64)
+    string = rng.integers(0, 2, 400).astype(np.uint64)
+    for k in range(f.DEPTH):
+        string = string << np.uint64(f.LABEL) | digits[:, k]
+    ends = rng.choice([f.matched_depth(), f.DEPTH], 400).astype(np.uint64)
+    records["string"] = string << np.uint64(f.SPARE) | ends
+    records["bits"] = rng.choice(np.array([[0, 0], [0, 7], [0, (1 << 64) - 1], [(1 << 64) - 1, 5]], np.uint64), 400)
+    found, left, right = f.matches(records)
+    label = np.arange(400)
+    j._joined(label, left, right)
+    for x in range(400):
+        for y in range(x):
+            a, b = found[x], found[y]
+            depth = int(max(a["string"] & 31, b["string"] & 31))
+            if f.prefixes(a["string"], depth) == f.prefixes(b["string"], depth) and f.differing(a["bits"], b["bits"]) <= f.most_differing():
+                assert label[x] == label[y]
+    assert len(set(label.tolist())) > 20
 
 
 def test_minhash_agreement_is_the_similarity():
     rng = np.random.default_rng(1)
     x = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
     a, b = x[:900], x[100:]
-    same = (j.labels(a) == j.labels(b)).mean()
+    same = (f.labels(a) == f.labels(b)).mean()
     assert abs(same - 0.8) < 0.12
-    assert (j.labels(x) == np.minimum(j.labels(a), j.labels(b))).all()
+    assert (f.labels(x) == np.minimum(f.labels(a), f.labels(b))).all()
+
+
+def test_sketches_differ_by_half_the_distance():
+    rng = np.random.default_rng(2)
+    found = []
+    for _ in range(200):
+        x = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+        found.append(int(f.differing(f.signature(x[:800])[1], f.signature(x[100:])[1])))  # 700 of 900
+    assert abs(np.mean(found) - 128 / 9) < 2 and max(found) <= f.most_differing()
+
+
+def test_recall_near_the_threshold(spark):
+    # 2,000 pairs of similarity 0.8 to 0.85, none of which may be lost
+    rng = random.Random(7)
+    docs = []
+    for k in range(2000):
+        words = [f"p{k}w{i}" for i in range(rng.randint(60, 200))]
+        n = len(words) - 4
+        cut = rng.randint(int(0.155 * n), n - -(-8 * n // 10))
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[cut:]))]
+    got = {r.doc_id: r.class_id for r in j.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=300_000).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(2000)) >= 1999
+
+
+def test_many_near_copies_of_one_text(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    docs = [(0, " ".join(base))]
+    for k in range(1, 5000):
+        words = list(base)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(120)] = f"x{rng.randrange(50)}"
+        docs.append((k, " ".join(words)))
+    sets = {k: plain(t) for k, t in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in j.near_duplicates(df, block_bytes=200_000).collect()}
+    assert {r.class_id for r in rows.values()} == {0}
+    distinct = list(set(sets.values()))
+    for k in range(0, 5000, 500):
+        s = sets[k]
+        want = sum(5 * (o := len(s & r)) >= 4 * (len(s) + len(r) - o) for r in distinct) - 1
+        assert 0.9995 * want <= rows[k].n_links <= want
+
+
+def test_groups_larger_than_a_tile(spark):
+    docs = corpus(8)
+    df = spark.createDataFrame([(k, t) for k, t in docs], "doc_id long, text string")
+    assert not all(r.whole for r in j.links(df.toDF("key", "text"), 4000, 700).collect())
+    assert sorted(tuple(r) for r in j.near_duplicates(df, block_bytes=4000, tile_bytes=700).collect()) == brute(docs)
 
 
 def test_components(spark):
