@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from bitloom.llm.key_exchange import PAIR, alike
@@ -59,8 +60,8 @@ def parcels(block: int, records: np.ndarray, lead: np.ndarray, buckets: int) ->
 
 def _gathered(found: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """A bucket's records and their blocks."""
-    parts = [np.frombuffer(x.as_buffer(), kind) for x in found.column("records")]
-    return np.concatenate(parts), np.repeat(np.array(found.column("block").to_pylist(), np.int64), [len(p) for p in parts])
+    parts = [np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in found.column("records"))]
+    return np.concatenate(parts), np.repeat(np.array(found.column("block").to_pylist(), np.int64), [len(p) for p in parts[1:]])
 
 
 def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -200,18 +201,24 @@ def told_items(told: pa.Table, kind: str, dtype: np.dtype | str = "<u4") -> np.n
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def served(block: int, told: pa.Table, first: np.ndarray, size: np.ndarray, members: np.ndarray) -> list[tuple]:
-    """Answers to requests by place: item k's members are members[first[k] : first[k] + size[k]], sorted."""
+def asked_items(told: pa.Table) -> np.ndarray:
+    """The items that a block is asked for, sorted."""
+    return np.unique(told_items(told, "ask", ASKED)["item"])
+
+
+def served(block: int, told: pa.Table, size: np.ndarray, members: np.ndarray) -> list[tuple]:
+    """Answers to requests by place. size, members: of asked_items(), the sizes of their sets, and these one after the other, each sorted."""
     asked = told_items(told, "ask", ASKED)
+    known, first = np.unique(asked["item"]), np.cumsum(size) - size
     asked = asked[np.lexsort((asked["item"], asked["other"] == NONE, asked["place"]))]
     part = np.flatnonzero(np.diff(asked["place"].astype(np.int64) * 2 + (asked["other"] == NONE), prepend=-1, append=-1))
     rows = []
     for s, e in zip(part[:-1], part[1:], strict=True):
         own = asked[s:e]
         numbers = np.unique(own["item"])
-        n = size[numbers]
-        at = np.repeat(first[numbers] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        rows.append((int(own["place"][0]), block, numbers.tobytes(), n.astype("<u4").tobytes(), members[at].astype("<u8").tobytes(), None if own["other"][0] == NONE else _distinct(own).tobytes()))
+        k = np.searchsorted(known, numbers)
+        at = np.repeat(first[k] - np.cumsum(size[k]) + size[k], size[k]) + np.arange(size[k].sum())
+        rows.append((int(own["place"][0]), block, numbers.tobytes(), size[k].astype("<u4").tobytes(), members[at].astype("<u8").tobytes(), None if own["other"][0] == NONE else _distinct(own).tobytes()))
     return rows
 
 
@@ -268,35 +275,35 @@ def verified(answers: DataFrame) -> DataFrame:
     return answers.groupBy("place").applyInArrow(place, TOLD)
 
 
-def first_parcels(block: int, keys: np.ndarray, order: np.ndarray, buckets: int) -> list[tuple]:
-    """A block's distinct keys, by item, each with the order of its document, by bucket."""
+def first_parcels(block: int, keys: np.ndarray, order: np.ndarray, items: np.ndarray, copies: np.ndarray, buckets: int) -> list[tuple]:
+    """By bucket, a block's distinct keys, each with its first item and the order of its document; and, to be told back, the items that are copies of these."""
     records = np.zeros(len(keys), FIRSTS)
-    records["key"], records["order"], records["item"] = keys, order, np.arange(len(keys))
-    return parcels(block, records, keys["a"], buckets)
+    records["key"], records["order"], records["item"] = keys, order, items
+    back = [(block % buckets, -1 - block, copies.astype("<u4").tobytes())] if len(copies) else []
+    return parcels(block, records, keys["a"], buckets) + back
+
+
+def firsts(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's keys of first_parcels(), and their blocks."""
+    return _gathered(found.filter(pc.greater_equal(found.column("block"), 0)), FIRSTS)
 
 
 def later(entries: DataFrame) -> DataFrame:
-    """TOLD rows of kind "later": the items of a block whose key stands before them, in an earlier document or in a lower block."""
+    """TOLD rows of kind "later": the items of a block whose key stands before them, in the block, in an earlier document or in a lower block."""
     schema = arrow_schema(TOLD)
 
     def bucket(found: pa.Table) -> pa.Table:
-        records, block = _gathered(found, FIRSTS)
+        rows = [(-1 - b, "later", data) for b, data in zip(found.column("block").to_pylist(), found.column("records").to_pylist(), strict=True) if b < 0]
+        records, block = firsts(found)
         order = np.lexsort((block, records["order"], records["key"]["b"], records["key"]["a"]))
         repeat = np.zeros(len(records), bool)
         repeat[order[1:]] = alike(records["key"][order])
-        return _table([(int(b), "later", records["item"][repeat & (block == b)].tobytes()) for b in np.unique(block[repeat])], schema)
+        return _table(rows + [(int(b), "later", records["item"][repeat & (block == b)].tobytes()) for b in np.unique(block[repeat])], schema)
 
     return entries.groupBy("bucket").applyInArrow(bucket, TOLD)
 
 
-def distinct_keys(keys: np.ndarray, order: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct key stands first, in order: item k of the block; and the item of every position."""
-    ranks = np.lexsort((line, order, keys["b"], keys["a"]))
-    fresh = np.concatenate([[True], ~alike(keys[ranks])]) if len(keys) else np.zeros(0, bool)
-    firsts = ranks[fresh]
-    by_order = np.lexsort((line[firsts], order[firsts]))
-    number = np.empty(len(firsts), np.int64)
-    number[by_order] = np.arange(len(firsts))
-    item = np.empty(len(keys), np.int64)
-    item[ranks] = number[np.cumsum(fresh) - 1]
-    return firsts[by_order], item
+def first_places(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct key stands first."""
+    ranks = np.lexsort((keys["b"], keys["a"]))
+    return np.sort(ranks[np.concatenate([[True], ~alike(keys[ranks])])]) if len(keys) else ranks

@@ -151,6 +151,12 @@ def unpacked(column: pa.ChunkedArray) -> list[bytes | None]:
     return [None if x is None else pack.decompress(x) for x in column.to_pylist()]
 
 
+def in_order(own: pa.Table) -> pa.Table:
+    """A block's rows by id, nulls last, and packed text: in one order, whatever order they came in."""
+    key, text = own.column("key").to_pylist(), own.column("text").to_pylist()
+    return own.take(sorted(range(len(key)), key=lambda k: (key[k] is None, key[k] or 0, text[k] or b"", text[k] is None)))
+
+
 def per_block(docs: DataFrame, live: DataFrame | None, each: Callable[[int, pa.Table, pa.Table | None], list[tuple]], schema: str) -> DataFrame:
     """each(block, its documents, its live rows) for every block that has documents."""
     kinds = arrow_schema(schema)

@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.block_join import ENTRIES, MOST, SERVED, TOLD, distinct_keys, first_parcels, later, others, parcels, posting, prefix_length, proposals, served, told_items, verified
-from bitloom.llm.key_exchange import PAIR, blocks_for, in_blocks, per_block, unpacked
+from bitloom.llm.block_join import ENTRIES, MOST, SERVED, TOLD, asked_items, first_parcels, first_places, later, others, parcels, posting, prefix_length, proposals, served, told_items, verified
+from bitloom.llm.key_exchange import PAIR, blocks_for, in_blocks, in_order, per_block, unpacked
 from bitloom.llm.tables import arrow_schema, record_batch, release, table
 from bitloom.llm.word_hashes import Words, mixed
 
@@ -34,33 +34,24 @@ LAST = np.iinfo(np.int64).max
 
 
 class Lines:
-    """The lines of a block of documents, as distinct words of each line: line numbers and hashes, sorted by both."""
-
-    def __init__(self, rows: list[tuple[int | None, bytes | None]]):
-        raw = [text or b"" for _, text in rows]
-        found = Words(raw, 1)
-        owner, hashes = found.line, found.hashes[0]
-        counts = np.array([t.count(b"\n") + 1 for t in raw], np.int64)
-        n_lines = int(counts.sum())
-        owner, hashes = _sorted(owner, hashes)
+    """Lines of text, joined by line breaks, as their distinct words: line numbers and hashes, sorted by both."""
+
+    def __init__(self, whole: bytes):
+        found = Words([whole], 1)
+        owner, hashes = _sorted(found.line, found.hashes[0])
         fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])]) if len(owner) else np.zeros(0, bool)
         self.owner, self.hashes = owner[fresh], hashes[fresh]
-        #: of each line: number of distinct words, first of them, key of the set, order of its document, number in it
-        self.n = np.bincount(self.owner, minlength=n_lines)
-        self.first = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64) if n_lines else np.zeros(0, np.int64)
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(self.hashes, by))]) for by in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-        self.keys = np.zeros(n_lines, PAIR)
-        for name, s in zip(("a", "b"), sums, strict=True):
-            self.keys[name] = s[self.first + self.n] - s[self.first]
-        self.order = np.repeat(np.array([LAST if k is None else k for k, _ in rows], np.int64), counts)
-        self.line = np.arange(n_lines) - np.repeat(np.cumsum(counts) - counts, counts)
-        # distinct sets of the block, by key; lines without words are none
-        full = np.flatnonzero(self.n)
-        places, item = distinct_keys(self.keys[full], self.order[full], self.line[full])
-        self.item_line = full[places]
-        self.item = np.full(n_lines, -1)
-        self.item[full] = item
-        self.item_keys = self.keys[self.item_line]
+        #: of each line: number of distinct words, first of them
+        self.n = np.bincount(self.owner, minlength=whole.count(b"\n") + 1)
+        self.first = np.cumsum(self.n) - self.n
+
+    def keys(self) -> np.ndarray:
+        """128 bits for each line's set."""
+        out = np.zeros(len(self.n), PAIR)
+        for name, by in zip(("a", "b"), (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), strict=True):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(self.hashes, by))])
+            out[name] = sums[self.first + self.n] - sums[self.first]
+        return out
 
 
 def _sorted(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +76,11 @@ def _by_rarity(owner: np.ndarray, level: np.ndarray, hashes: np.ndarray) -> np.n
     return np.lexsort((hashes, level, owner))
 
 
-def _rows(own: pa.Table) -> list[tuple[int | None, bytes | None]]:
-    return list(zip(own.column("key").to_pylist(), unpacked(own.column("text")), strict=True))
+def _texts(own: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """The texts of a block's rows, and the order of the document of each line."""
+    texts = [t or b"" for t in unpacked(own.column("text"))]
+    order = np.array([LAST if k is None else k for k in own.column("key").to_pylist()], np.int64)
+    return texts, np.repeat(order, [t.count(b"\n") + 1 for t in texts])
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -119,20 +113,16 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return levels
 
 
-def postings(found: Lines, items: np.ndarray, levels: np.ndarray, kind: np.dtype, lowest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Records of the prefixes of the given items, and the hash each goes by. Words that stand nowhere else are left out."""
-    lines = found.item_line[items]
-    n = found.n[lines]
-    at = np.repeat(found.first[lines] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-    owner, hashes = np.repeat(np.arange(len(items)), n), found.hashes[at]
+def postings(found: Lines, items: np.ndarray, order: np.ndarray, levels: np.ndarray, kind: np.dtype, lowest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Records of the prefixes of lines, and the hash each goes by. Words that stand nowhere else are left out. items, order: what the lines are called, and where their documents stand."""
+    n, owner, hashes, starts = found.n, found.owner, found.hashes, found.first
     level = levels[(hashes % np.uint64(PLACES)).astype(np.int64)]
-    bits = np.zeros((len(items), 2), np.uint64)
+    bits, some = np.zeros((len(items), 2), np.uint64), n > 0
     spread = mixed(hashes, 0xA24BAED4963EE407)
     one = np.uint64(1) << (spread & np.uint64(63))
     half = ((spread >> np.uint64(6)) & np.uint64(1)).astype(bool)
-    starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else np.zeros(0, np.int64)
     for k, mask in enumerate((half, ~half)):
-        bits[:, k] = np.bitwise_xor.reduceat(np.where(mask, one, np.uint64(0)), starts) if len(starts) else 0
+        bits[some, k] = np.bitwise_xor.reduceat(np.where(mask, one, np.uint64(0)), starts[some]) if some.any() else 0
     rank = _by_rarity(owner, level, hashes)
     place = np.arange(len(rank)) - np.repeat(starts, n)
     chosen = (place < np.repeat(prefix_length(n), n)) & (level[rank] > 0)
@@ -142,7 +132,7 @@ def postings(found: Lines, items: np.ndarray, levels: np.ndarray, kind: np.dtype
     own = owner[rank]
     records["key"], records["item"] = (lead >> np.uint64(32)).astype(np.uint32), items[own]
     records["n"], records["at"], records["bits"] = np.minimum(n[own], MOST), np.minimum(place, MOST), bits[own]
-    order = found.order[lines][own]
+    order = order[own]
     records["order"] = np.where(order == LAST, np.iinfo(kind["order"]).max, order.astype(np.uint64) - np.uint64(lowest % (1 << 64)))
     return records, lead & np.uint64(0xFFFFFFFF)
 
@@ -157,8 +147,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """All rows and columns of docs (the id as a long, the text as a string), and n_lines, removed (numbers of the removed lines), kept_text (the lines left, joined by line breaks).
 
     A line is what stands between line breaks. A null text has no lines and stays null, an empty one has one, empty, line. A null id comes after all
-    others. Of rows with one id, those in one block, which follows from the hash of id and text, are gone through line by line together, then the next block's; of lines of equal
-    place the one with the lesser hash comes first, and of rows that are alike either may keep its lines. The last three columns have these names even where docs has them, too.
+    others. Rows with one id come by their blocks, which follow from hashes of id and text, and in a block by packed text; of rows that are alike in both
+    either may keep its lines. The last three columns have these names even where docs has them, too.
     """
     names = [{id_col: "key", text_col: "text"}.get(c, f"c{k}") for k, c in enumerate(docs.columns)]
     own = docs.toDF(*names).withColumns({"key": F.col("key").cast("long"), "text": F.col("text").cast("string")})
@@ -171,46 +161,50 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = in_blocks(own, n)
 
     def send_keys(block: int, rows: pa.Table, _: None) -> list[tuple]:
-        found = Lines(_rows(rows))
-        return first_parcels(block, found.item_keys, found.order[found.item_line], n)
+        texts, order = _texts(in_order(rows))
+        found = Lines(b"\n".join(texts))
+        full = np.flatnonzero(found.n)  # lines without words are no items
+        keys = found.keys()[full]
+        at = first_places(keys)
+        return first_parcels(block, keys[at], order[full[at]], full[at], np.delete(full, at), n)
 
     def send_postings(block: int, rows: pa.Table, told: pa.Table) -> list[tuple]:
-        found = Lines(_rows(rows))
-        items = np.setdiff1d(np.arange(len(found.item_keys)), told_items(told, "later"))
-        return parcels(block, *postings(found, items, shared.value, kind, lowest), n)
+        texts, order = _texts(in_order(rows))
+        lines = b"\n".join(texts).split(b"\n")
+        items = np.setdiff1d(np.arange(len(lines)), told_items(told, "later"))
+        if not len(items):
+            return []
+        return parcels(block, *postings(Lines(b"\n".join([lines[k] for k in items.tolist()])), items, order[items], shared.value, kind, lowest), n)
 
     def serve(block: int, rows: pa.Table, told: pa.Table) -> list[tuple]:
         if not told.num_rows:
             return []
-        found = Lines(_rows(rows))
-        return served(block, told, found.first[found.item_line], found.n[found.item_line], found.hashes)
+        lines = b"\n".join(_texts(in_order(rows))[0]).split(b"\n")
+        found = Lines(b"\n".join([lines[k] for k in asked_items(told).tolist()]))
+        return served(block, told, found.n, found.hashes)
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", n_lines int, removed array<int>, kept_text string"
 
     def cut(block: int, rows: pa.Table, told: pa.Table) -> list[tuple]:
-        texts = unpacked(rows.column("text"))
-        found = Lines(list(zip(rows.column("key").to_pylist(), texts, strict=True)))
-        gone = np.zeros(len(found.item_keys), bool)
-        gone[told_items(told, "later")] = gone[told_items(told, "near")] = True
-        lost = found.item >= 0
-        lost[found.item_line] = False  # copies in the block go, and so do the first ones that others stand before
-        lost[found.item_line[gone]] = True
+        rows = in_order(rows)
+        gone = np.sort(np.concatenate([told_items(told, "later"), told_items(told, "near")])).astype(np.int64)
+        texts = [t if t is None else t.decode() for t in unpacked(rows.column("text"))]
         out, k = [], 0
-        values = [[t if t is None else t.decode() for t in texts] if c == "text" else rows.column(c).to_pylist() for c in names]
-        for row, text in zip(zip(*values, strict=True), values[names.index("text")], strict=True):
-            lines = (text or "").split("\n")
-            mine = lost[k : k + len(lines)].tolist()
-            k += len(lines)
-            kept = None if text is None else "\n".join([x for x, y in zip(lines, mine, strict=True) if not y]) if any(mine) else text
-            out.append((*row, 0 if text is None else len(lines), np.flatnonzero(mine).tolist(), kept))
+        for row, text in zip(zip(*(texts if c == "text" else rows.column(c).to_pylist() for c in names), strict=True), texts, strict=True):
+            size = (text or "").count("\n") + 1
+            mine = np.unique(gone[np.searchsorted(gone, k) : np.searchsorted(gone, k + size)] - k).tolist()
+            k += size
+            kept = text
+            if mine:
+                lost = set(mine)
+                kept = "\n".join([x for j, x in enumerate(text.split("\n")) if j not in lost])
+            out.append((*row, 0 if text is None else size, mine, kept))
         return out
 
     again = later(per_block(own, None, send_keys, ENTRIES))
     entries = per_block(own, again, send_postings, ENTRIES)
     near = verified(per_block(own, proposals(entries, kind), serve, SERVED))
-    rest = others(entries, near, kind)
-    asked = own.join(rest.select("block").distinct(), "block", "left_semi")  # as a rule no blocks
-    last = verified(per_block(asked.select(own.columns), rest, serve, SERVED))
+    last = verified(per_block(own, others(entries, near, kind), serve, SERVED))
     # what failed goes by buckets, which have the numbers of blocks: blocks pass it over
     found = per_block(own, again.unionAll(near).unionAll(last), cut, schema)
     return found.toDF(*docs.columns, "n_lines", "removed", "kept_text")

@@ -16,9 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.block_join import ENTRIES, FIRSTS, TOLD, distinct_keys, first_parcels, later, needed, parcels, told_items
+from bitloom.llm.block_join import ENTRIES, TOLD, first_parcels, first_places, firsts, later, needed, parcels, told_items
 from bitloom.llm.components import components
-from bitloom.llm.key_exchange import PAIR, alike, blocks_for, in_blocks, per_block, unpacked
+from bitloom.llm.key_exchange import PAIR, alike, blocks_for, in_blocks, in_order, per_block, unpacked
 from bitloom.llm.minhash_forest import CHUNK, RECORD, SPARE, differing, matched_depth, matches, most_differing, prefixes, records_of, signature
 from bitloom.llm.substring_dedup import rolled
 from bitloom.llm.tables import arrow_schema, columns, positional, record_batch, release, scan_bytes, table, written
@@ -59,13 +59,15 @@ class Classes:
         sets = [(LAST if key is None else key, s) for (key, _), s in zip(rows, shingle_sets([t for _, t in rows]), strict=True) if len(s)]
         keys = np.array([set_key(s) for _, s in sets], PAIR) if sets else np.zeros(0, PAIR)
         order = np.array([k for k, _ in sets], np.int64)
-        places, _ = distinct_keys(keys, order, np.zeros(len(keys), np.int64))
+        by_order = np.argsort(order, kind="stable")
+        places = by_order[first_places(keys[by_order])]
         self.keys, self.order = keys[places], order[places]
         self.sets = [sets[k][1] for k in places]
         self.n = np.array([len(s) for s in self.sets], np.int64)
 
 
 def _rows(own: pa.Table) -> list[tuple[int | None, bytes | None]]:
+    own = in_order(own)
     return list(zip(own.column("key").to_pylist(), unpacked(own.column("text")), strict=True))
 
 
@@ -88,13 +90,13 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 def _first_entries(own: DataFrame, n: int) -> DataFrame:
     def send_keys(block: int, rows: pa.Table, _: None) -> list[tuple]:
         found = Classes(_rows(rows))
-        return first_parcels(block, found.keys, found.order, n)
+        return first_parcels(block, found.keys, found.order, np.arange(len(found.keys)), np.zeros(0), n)
 
     return per_block(own, None, send_keys, ENTRIES)
 
 
 def candidates(own: DataFrame, n: int) -> DataFrame:
-    """EDGES between classes that the forest matches, enough to connect them, v with its size; and a row for each u of its own."""
+    """EDGES between classes that the forest matches, enough to connect them: u is the least of those connected in a bucket, v each of them, with its size."""
     schema = arrow_schema(EDGES)
 
     def send_strings(block: int, rows: pa.Table, told: pa.Table) -> list[tuple]:
@@ -107,13 +109,17 @@ def candidates(own: DataFrame, n: int) -> DataFrame:
         records, left, right = matches(np.concatenate([np.frombuffer(x.as_buffer(), RECORD) for x in found.column("records")]))
         if not len(left):
             return _table([], schema)
-        link = np.stack([records["own"][k][h] for k in (left, right) for h in ("a", "b")])
-        order = np.lexsort(link)
-        fresh = np.concatenate([[True], (link[:, order[1:]] != link[:, order[:-1]]).any(0)])
-        left, right = left[order[fresh]], right[order[fresh]]
-        heads = np.unique(left)
-        left, right = np.concatenate([left, heads]), np.concatenate([right, heads])
-        return pa.table([pa.array(_packed(records["own"][left]), pa.binary()), pa.array(_packed(records["own"][right]), pa.binary()), pa.array(records["n"][right].astype(np.int64))], schema=schema)
+        # of the links of all trees, as many as connect the classes: each with the least one
+        by_key = np.lexsort((records["own"]["b"], records["own"]["a"]))
+        number = np.empty(len(records), np.int64)
+        number[by_key] = np.cumsum(np.concatenate([[False], ~alike(records["own"][by_key])]))
+        label = np.arange(number[by_key[-1]] + 1)
+        _joined(label, number[left], number[right])
+        linked = np.unique(number[np.concatenate([left, right])])
+        place = np.empty(len(label), np.int64)
+        place[number] = np.arange(len(records))
+        least, each = records[place[label[linked]]], records[place[linked]]
+        return pa.table([pa.array(_packed(least["own"]), pa.binary()), pa.array(_packed(each["own"]), pa.binary()), pa.array(each["n"].astype(np.int64))], schema=schema)
 
     again = later(_first_entries(own, n))
     return per_block(own, again, send_strings, ENTRIES).groupBy("bucket").applyInArrow(bucket, EDGES)
@@ -126,9 +132,7 @@ def _told_places(entries: DataFrame, placed: DataFrame) -> DataFrame:
     def bucket(found: pa.Table, given: pa.Table) -> pa.Table:
         if not given.num_rows or not found.num_rows:
             return _table([], schema)
-        parts = [np.frombuffer(x.as_buffer(), FIRSTS) for x in found.column("records")]
-        records = np.concatenate(parts)
-        block = np.repeat(np.array(found.column("block").to_pylist(), np.int64), [len(p) for p in parts])
+        records, block = firsts(found)
         order = np.lexsort((block, records["order"], records["key"]["b"], records["key"]["a"]))
         order = order[np.concatenate([[True], ~alike(records["key"][order])])]
         known, node = records["key"][order], _opened(given.column("node"))

@@ -89,8 +89,9 @@ def test_filter_lets_similar_sets_pass():
     for k in range(300):
         base = [f"{k}w{j}" for j in range(rng.randint(5, 120))]
         docs += [(2 * k, " ".join(base).encode()), (2 * k + 1, " ".join([*(w for w in base if rng.random() < 0.95), f"more{k}"]).encode())]
-    lines = d.Lines(docs)
-    records, _ = d.postings(lines, np.arange(len(docs)), np.full(d.PLACES, 3, np.uint8), b.posting(False), 0)
+    lines = d.Lines(b"\n".join(t for _, t in docs))
+    items = np.arange(len(docs))
+    records, _ = d.postings(lines, items, items, np.full(d.PLACES, 3, np.uint8), b.posting(False), 0)
     for k in range(0, len(docs), 2):
         x, y = (records[records["item"] == k + j] for j in (0, 1))
         s, t = (set(docs[k + j][1].split()) for j in (0, 1))
