@@ -28,7 +28,7 @@ NONE = np.uint32(0xFFFFFFFF)
 FAILED = np.dtype([("block", "<u4"), ("item", "<u4")])
 FIRSTS = np.dtype([("key", PAIR), ("order", "<i8"), ("item", "<u4")])
 #: Pairs looked at together in one array, and how many leaders of a word the others are compared with before all are.
-CHUNK, LEADERS = 1 << 19, 4
+CHUNK, LEADERS = 1 << 16, 4
 #: Jaccard similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Sizes and places in records end here; beyond it filters let pass.
@@ -59,22 +59,12 @@ def parcels(block: int, records: np.ndarray, lead: np.ndarray, buckets: int) ->
 
 
 def _gathered(found: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """A bucket's records and their blocks."""
+    """A bucket's records and their blocks, by block."""
+    found = found.sort_by("block")
     parts = [np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in found.column("records"))]
     return np.concatenate(parts), np.repeat(np.array(found.column("block").to_pylist(), np.int64), [len(p) for p in parts[1:]])
 
 
-def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which pairs of records pass the filters: length, position, and bits that the words flip, of which no more can differ than words do."""
-    a, b = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    least = needed(a, b)
-    rest = np.minimum(x["at"], y["at"]) + np.minimum(a - x["at"], b - y["at"])
-    out = (rest >= least) & (np.minimum(a, b) >= least)
-    some = np.flatnonzero(out)
-    out[some] = np.bitwise_count(x["bits"][some] ^ y["bits"][some]).astype(np.int64).sum(1) <= (a + b - 2 * least)[some]
-    return out | (x["n"] == MOST) | (y["n"] == MOST)
-
-
 def _distinct(records: np.ndarray) -> np.ndarray:
     """The different ones of a few records, sorted."""
     records = records[np.lexsort([records[f] for f in records.dtype.names[::-1]])]
@@ -90,15 +80,38 @@ class Bucket:
 
     def __init__(self, found: pa.Table, kind: np.dtype):
         records, block = _gathered(found, kind)
-        order = np.lexsort((records["item"], block, records["order"], records["key"]))
+        # records come by block and item
+        narrow = records["order"].dtype == np.uint32
+        order = np.argsort((records["key"].astype(np.uint64) << np.uint64(32)) | records["order"], kind="stable") if narrow else np.lexsort((records["order"], records["key"]))
         self.records, self.block = records[order], block[order]
+        # columns of their own: filters look at few of them
+        self.size, self.at = (self.records[c].astype(np.int32) for c in ("n", "at"))
+        self.after = self.size - self.at
+        self.bits = [np.ascontiguousarray(self.records["bits"][:, k]) for k in (0, 1)]
+        self.large = bool((self.size == MOST).any())
         key = self.records["key"]
         self.run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
         self.first = np.searchsorted(self.run, self.run)
 
+    def fitting(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of places pass the filters: length and position, and bits that the words flip, of which no more can differ than words do."""
+        both = self.size[x] + self.size[y]
+        rest = np.minimum(self.at[x], self.at[y]) + np.minimum(self.after[x], self.after[y])
+        rest *= NUMERATOR + DENOMINATOR
+        good = rest >= NUMERATOR * both
+        if self.large:
+            good |= (self.size[x] == MOST) | (self.size[y] == MOST)
+        good = np.flatnonzero(good)
+        x, y, both = x[good], y[good], both[good]
+        differ = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int32) for b in self.bits)
+        near = differ <= both - 2 * -(-NUMERATOR * both // (NUMERATOR + DENOMINATOR))
+        if self.large:
+            near |= (self.size[x] == MOST) | (self.size[y] == MOST)
+        return good[near]
+
     def before(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs, in chunks, of the places `which` and all places before them of the same word and of a size that may fit, that pass the filters."""
-        n = np.minimum(self.records["n"].astype(np.uint64), MOST)
+        n = self.size.astype(np.uint64)
         by_size = np.lexsort((n, self.run))
         size = (self.run[by_size].astype(np.uint64) << np.uint64(32)) | n[by_size]
         run, own = self.run[which].astype(np.uint64) << np.uint64(32), n[which]
@@ -114,7 +127,7 @@ class Bucket:
             y = by_size[np.repeat(low[start:end] - (sums[start:end] - count - done), count) + np.arange(len(x))]
             earlier = np.flatnonzero(y < x)
             x, y = x[earlier], y[earlier]
-            good = np.flatnonzero(fits(self.records[x], self.records[y]))
+            good = self.fitting(x, y)
             yield x[good], y[good]
             start = end
 
@@ -131,7 +144,7 @@ class Bucket:
             y = led[self.run[x]]
             later = x > y
             x, y = x[later], y[later]
-            good = fits(self.records[x], self.records[y])
+            good = self.fitting(x, y)
             partner[x[good]] = y[good]
             free[x[good]] = False
             rest = np.append(np.flatnonzero(free), n)
@@ -142,10 +155,10 @@ class Bucket:
                 break
         open_ = np.flatnonzero((partner < 0) & (self.first < np.arange(n)))
         for x, y in self.before(open_):
-            least = np.full(n, n)
-            np.minimum.at(least, x, y)
-            at = np.flatnonzero(least < n)
-            partner[at] = least[at]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            first = np.flatnonzero(np.diff(x, prepend=-1))
+            partner[x[first]] = y[first]
         x = np.flatnonzero(partner >= 0)
         return x, partner[x]
 

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bitloom.llm import line_dedup as d
@@ -96,9 +97,10 @@ def test_filter_lets_similar_sets_pass():
         x, y = (records[records["item"] == k + j] for j in (0, 1))
         s, t = (set(docs[k + j][1].split()) for j in (0, 1))
         if s != t and 5 * len(s & t) >= 4 * len(s | t):
-            shared = np.intersect1d(x["key"], y["key"])
-            assert len(shared)
-            assert b.fits(*(np.array([r[r["key"] == v][0] for v in shared]) for r in (x, y))).all()
+            found = b.Bucket(pa.table({"block": pa.array([0], pa.int32()), "records": [np.concatenate([x, y]).tobytes()]}), x.dtype)
+            places = np.arange(len(found.records))
+            twice = places[1:][found.run[1:] == found.run[:-1]]
+            assert len(twice) and len(found.fitting(twice, twice - 1)) == len(twice)
 
 
 def test_many_near_copies_of_one_line(spark):
