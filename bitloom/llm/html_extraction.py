@@ -4,8 +4,8 @@ The page is read as a stream of tags and text. Each piece of text has a tag path
 For each path the text's length and its punctuation are added up and divided by the number of its pieces and of link characters; a wide path
 with much punctuation is prose, a path of menus is not. The ratios are smoothed along the page, both kinds are fused into one, and pieces over a
 threshold are content. The smallest element that holds nearly all of the content's weight is the article. Returned are its blocks, all content outside it, the
-blocks between the first and the last of these, and the heading before with what follows it, except for elements that by
-tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms or reader comments. All text is scored before these are left out:
+blocks between the first and the last of these, and the heading before with what follows it, except for containers that by their links, ratios or place aren't of the
+article, and for elements that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms or reader comments. All text is scored before these are left out:
 such an element that holds most of the content's weight is a wrapper around the article and stays.
 """
 
@@ -43,23 +43,27 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 SCOPES = frozenset("table td th caption button object".split())
 DROPPED = frozenset("nav footer aside form button select input menu dialog iframe script style noscript template textarea title head svg math label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertorial|adsense|adbox|banners?|sponsor(?:ed|s)?|promo(?:s|tions?|ted)?|nav|navs|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|aside|rail|footers?|foot|"
-    r"masthead|site-?header|page-?header|topbar|toolbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|sign-?in|login|comments?|commentlist|replies|respond|disqus|discussion|reactions|feedback|"
-    r"related|recommended|recommendations|share|sharing|social|widgets?|pagination|pager|copyright|legal|disclaimer|skip|hidden)(?:$|[\s_-]|\d)",
-    re.I,
-)
-#: Tags and names of text beside an article, which may outweigh it.
+#: Tags of text beside an article, which may outweigh it.
 BESIDE_TAGS = frozenset("nav footer aside button select input menu dialog label".split())
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertorial|adsense|adbox|banners?|sponsor(?:ed|s)?|promo(?:s|tions?|ted)?|nav|navs|navbar|navigation|menus?|breadcrumbs?|footers?|foot|cookies?|consent|gdpr|newsletter|copyright|"
-    r"comments?|commentlist|replies|respond|disqus|discussion|reactions|feedback|related|recommended|recommendations|share|sharing|social|hidden)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words of names of boilerplate; those of text beside an article, which may outweigh it, first.
+BESIDE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertorial adsense adbox banner banners sponsor sponsored sponsors promo promos promotion promotions promoted nav navs navbar navigation menu menus "
+    "breadcrumb breadcrumbs footer footers foot cookie cookies consent gdpr newsletter copyright comment comments commentlist reply replies respond disqus discussion reactions feedback "
+    "related recommended recommendations share sharing social hidden".split()
+)
+NAMES = BESIDE | frozenset("sidebar sidebars side aside rail masthead siteheader pageheader topbar toolbar notice notices alert alerts popup popups modal modals overlay subscribe subscription signup signin login widget widgets pagination pager legal disclaimer skip".split())
+#: Words that such names are made with; a name with any other word is some other name.
+NEUTRAL = frozenset(
+    "list lists box boxes block section wrap wrapper container area item items bar bars content inner outer main top bottom left right primary secondary global site page post article entry user reader links link text title body header head "
+    "sticky fixed inline form icons icon buttons button row col column grid panel group unit slot zone wide small large mobile desktop policy message messages thread media sub in up out to on off first last".split()
 )
+#: Containers of no meaning of their own, and what a text is made of that isn't a mere line.
+GENERIC, OWN = frozenset("div section article ul ol menu dl table span center".split()), frozenset("h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figcaption caption".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 LAYOUT = re.compile(r"(?<![^\s_-])(?:has|no|with|without)[_-]\w+", re.I)
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+WORD = re.compile(r"[^\W\d_]{2,}")
 MARKS = re.compile(r"[^\w\s]")
 SPACE = re.compile(r"\s+")
 
@@ -74,6 +78,8 @@ class Element:
     beside: bool = False
     #: number of the tag path from the root
     path: int = 0
+    #: the tag as it is written
+    tag: str = ""
     weight: float = 0.0
 
     def __post_init__(self):
@@ -105,11 +111,12 @@ def _boilerplate(name: str, attributes: str, inside_article: bool) -> tuple[str,
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-            value = LAYOUT.sub("", HUMP.sub("-", value))
-            if found := NAMES.search(value):
-                return found[0].strip("-_ \t\r\n\f0123456789").lower(), bool(BESIDE.search(value))
-            if not inside_article and {"header", "hdr"} & set(value.lower().split()):
-                return "header", False
+            for one in LAYOUT.sub("", HUMP.sub("-", value)).lower().split():
+                made = WORD.findall(one)
+                if (known := [w for w in made if w in NAMES]) and all(w in NAMES or w in NEUTRAL for w in made):
+                    return known[0], any(w in BESIDE for w in known)
+                if not inside_article and one in ("header", "hdr"):
+                    return "header", False
         if key == "role" and value.lower() in ROLES:
             return value.lower(), value.lower() not in ("form", "alert")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -187,7 +194,7 @@ def read(page: str) -> list[Piece]:
             continue
         top = stack[-1]
         path = paths.setdefault((top.path, name), len(paths) + 1)
-        element = Element(name, top, *_boilerplate(name, m[3], top.article), path)
+        element = Element(name, top, *_boilerplate(name, m[3], top.article), path, name + m[3])
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
@@ -197,8 +204,8 @@ def read(page: str) -> list[Piece]:
     return pieces
 
 
-def scores(pieces: list[Piece], window: int = 2, sigma: float = 1.0) -> np.ndarray:
-    """For each piece, the fused and smoothed ratios of its tag path."""
+def ratios(pieces: list[Piece]) -> dict[int, tuple[float, float]]:
+    """For each tag path, length and punctuation a piece, less the share of links."""
     sums: dict[int, list[float]] = {}
     for p in pieces:
         entry = sums.setdefault(p.owner.path, [0, 0, 0, 0])
@@ -207,7 +214,12 @@ def scores(pieces: list[Piece], window: int = 2, sigma: float = 1.0) -> np.ndarr
         entry[1] += len(MARKS.findall(p.text))
         entry[2] += bool(size)
         entry[3] += size if p.link else 0
-    ratio = {path: (length / max(1, n) * (1 - linked / max(1, length)), marks / max(1, n) * (1 - linked / max(1, length))) for path, (length, marks, n, linked) in sums.items()}
+    return {path: (length / max(1, n) * (1 - linked / max(1, length)), marks / max(1, n) * (1 - linked / max(1, length))) for path, (length, marks, n, linked) in sums.items()}
+
+
+def scores(pieces: list[Piece], window: int = 2, sigma: float = 1.0) -> np.ndarray:
+    """For each piece, the fused and smoothed ratios of its tag path."""
+    ratio = ratios(pieces)
     kernel = np.exp(-0.5 * (np.arange(-window, window + 1) / sigma) ** 2)
     kernel /= kernel.sum()
     smooth = lambda x: np.convolve(np.pad(x, window, mode="edge"), kernel, "valid")
@@ -215,6 +227,66 @@ def scores(pieces: list[Piece], window: int = 2, sigma: float = 1.0) -> np.ndarr
     return by_length * (1 + by_marks)
 
 
+@dataclass
+class Sums:
+    """What an element's pieces add up to."""
+
+    size: int = 0
+    linked: int = 0
+    links: int = 0
+    #: the highest ratio of the pieces' paths
+    ratio: float = 0.0
+    first: int = 1 << 60
+    main: bool = False
+    own: bool = False
+
+
+def _foreign(pieces: list[Piece], content: np.ndarray, low_share: float = 0.25, links: int = 3) -> set[int]:
+    """Containers among the content that aren't of it, whatever their names: those of links; those of mere lines whose path has but a low ratio; and, after the last text
+    of the path with most content, those that stand in a row of equal ones, as comments do. None of them holds text of that path."""
+    ratio = ratios(pieces)
+    fused = {path: length * (1 + marks) for path, (length, marks) in ratio.items()}
+    by_path: Counter[int] = Counter()
+    for p, good in zip(pieces, content.tolist(), strict=True):
+        by_path[p.owner.path] += len(p.text.strip()) if good and not p.link else 0
+    if not by_path:
+        return set()
+    main, weight = by_path.most_common(1)[0]
+    if not weight:
+        return set()
+    last = max(k for k, p in enumerate(pieces) if p.owner.path == main and p.text.strip())
+    known: dict[int, tuple[Element, Sums]] = {}
+    for k, p in enumerate(pieces):
+        size = len(p.text.strip())
+        if not size:
+            continue
+        e, own = p.owner, False
+        while e is not None:
+            sums = known.setdefault(id(e), (e, Sums()))[1]
+            sums.size += size
+            sums.linked += size if p.link else 0
+            sums.links += p.link
+            sums.ratio = max(sums.ratio, fused[p.owner.path])
+            sums.first = min(sums.first, k)
+            sums.main |= p.owner.path == main
+            own = own or e.name in OWN
+            sums.own |= own
+            e = e.parent
+    rows: Counter[tuple[int, str]] = Counter()
+    for e, sums in known.values():
+        if e.name in GENERIC and not sums.main and sums.first > last:
+            rows[id(e.parent), e.tag] += 1
+    out = set()
+    for e, sums in known.values():
+        if e.name not in GENERIC or sums.main or e.parent is None:
+            continue
+        menu = sums.links >= links and 2 * sums.linked >= sums.size
+        line = not sums.own and e.name in ("div", "section") and sums.ratio < low_share * fused[main]
+        if menu or line or sums.first > last and rows[id(e.parent), e.tag] > 1:
+            out.add(id(e))
+    return out
+
+
 def _weights(pieces: list[Piece], weight: np.ndarray) -> list[Element]:
     """All elements of the pieces, the deepest first, with the weights of their pieces added up."""
     known: dict[int, Element] = {}
@@ -324,10 +396,15 @@ def main_text(page: str | None, share: float = 0.9) -> str:
         if e.parent is not None and id(e.parent) in inside:
             inside.add(id(e))
     chosen = [k for k, p in enumerate(pieces) if p.text.strip() and (content[k] or id(p.owner) in inside)]
+    foreign = _foreign(pieces, content)
+    for e in reversed(elements):
+        if e.parent is not None and id(e.parent) in foreign:
+            foreign.add(id(e))
+    chosen = [k for k in chosen if id(pieces[k].owner) not in foreign] or chosen
     low, high = pieces[_opening(pieces, chosen[0])].block, pieces[chosen[-1]].block
     found: dict[int, list[str]] = {}
     for p in pieces:
-        if low <= p.block <= high:
+        if low <= p.block <= high and id(p.owner) not in foreign:
             found.setdefault(p.block, []).append(p.text)
     blocks = [SPACE.sub(" ", "".join(parts)).strip() for _, parts in sorted(found.items())]
     return "\n\n".join(b for b in blocks if b)

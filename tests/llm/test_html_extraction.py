@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import pytest
@@ -71,6 +72,42 @@ def test_names_drop_what_is_beside_the_article():
     assert main_text(f"<article><p>So, no.</p></article><footer>&copy; us. {BODY[0]}</footer>") == "So, no."
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article><h1>A flood &amp;c.</h1>{PARAGRAPHS}<div class=x1>{MENU}</div><p>{BODY[0]}</p></article>",
+        f"<article><h1>A flood &amp;c.</h1>{PARAGRAPHS}<div class=zz9>Buy now!</div><p>{BODY[0]}</p></article>",
+        f"<article><h1>A flood &amp;c.</h1>{PARAGRAPHS}<p>{BODY[0]}</p>{''.join(f'<div class=usr><p>I say, {k}: this is wrong, quite wrong!</p></div>' for k in range(4))}</article>",
+        f"<div>{MENU}</div><div><h1>A flood &amp;c.</h1>{PARAGRAPHS}</div><div><p>{BODY[0]}</p></div>",
+        f"<body><nav>{MENU}</nav><div class=social-history><h1>A flood &amp;c.</h1>{PARAGRAPHS}<p>{BODY[0]}</p></div></body>",
+        f"<body><nav>{MENU}</nav><section id=comments-on-the-law><h1>A flood &amp;c.</h1>{PARAGRAPHS}<p>{BODY[0]}</p></section></body>",
+    ],
+)
+def test_ratios_and_not_names_decide(page):
+    assert main_text(page) == html.unescape(WANT) + "\n\n" + BODY[0]
+
+
+def test_pages_with_random_names():
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("bcdfgklmnprstvz") for _ in range(5))
+    for _ in range(60):
+        body = [rng.choice(BODY) for _ in range(rng.randint(3, 9))]
+        title = "What came of it"
+        parts = [f"<p>{b}</p>" for b in body]
+        parts.insert(rng.randint(1, len(parts)), f"<div class={name()}>{MENU}</div>")
+        inner = f"<h1>{title}</h1>{''.join(parts)}"
+        inner = rng.choice([f"<div class={name()}><div id={name()}>{inner}</div></div>", f"<article>{inner}</article>"])
+        user = name()
+        after = "".join(f"<div class={user}><p>Well, {k}, no!</p></div>" for k in range(rng.choice([0, 2, 5])))
+        page = f"<body><div class={name()}>{MENU}</div>{inner}{after}<div class={name()}>{MENU}</div></body>"
+        assert main_text(page) == "\n\n".join([title, *body])
+
+
+def test_lists_tables_and_quotes_of_an_article_stay():
+    page = f"<article><h1>T</h1>{PARAGRAPHS}<ul><li>one</li><li>two <a href=x>there</a></li></ul><div><table><tr><td>a<td>b</table></div><div><blockquote>Yes.</blockquote></div><div><h2>More</h2></div>{PARAGRAPHS}</article>"
+    assert main_text(page) == "\n\n".join(["T", *BODY, "one", "two there", "a", "b", "Yes.", "More", *BODY])
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p> </p>") == main_text("<script>x</script>") == ""
     assert main_text("just words, no tags") == "just words, no tags"
