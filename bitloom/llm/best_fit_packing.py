@@ -4,7 +4,8 @@ Documents become pieces of at most `capacity` tokens. Only how many pieces there
 the driver plans over a table of at most `capacity` counts, whatever the size of the corpus. The planner indexes the
 lengths still available by single, pair and triple sum. A sequence starts with the longest piece left; if a single, pair or triple
 fills its gap exactly, that is taken, else the longest piece that fits, and again. One such pattern is used as often as
-the counts allow, so each step uses up a length or nearly so and the plan stays about as long as the table of lengths.
+the counts allow, so each step uses up a length or nearly so and the plan stays about as long as the table of lengths. Where plain best fit of the same counts, which
+is made too, takes fewer sequences, its patterns are used.
 
 Pieces then get their number among the pieces of their length and look up, by that number, which sequence of which pattern holds them. Numbers are made
 of counts per (length, hash bucket), so no length, however frequent, is collected in one task.
@@ -16,6 +17,7 @@ import os
 import re
 import struct
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ END_ID = 1
 #: Words whose ids a worker keeps; beyond it, it starts anew. It bounds memory, not results.
 KEPT_WORDS = 400_000
 #: Pieces to a hash bucket, about: what one task numbers at once.
-BUCKET_PIECES = 200_000
+BUCKET_PIECES = 20_000
 
 # The tokenizer's own split of a word, for characters on which all Unicode versions agree.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -172,11 +174,8 @@ class _Sums:
         return None
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how many sequences follow each, using every piece once. counts: pieces by length."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
+def _exact_first(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns from the longest piece down, their gaps filled by exact sums, or by the longest pieces that fit; each is used as often as the counts allow."""
     sums = _Sums(left)
     out = []
     for top in range(capacity, 0, -1):
@@ -201,6 +200,48 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     return out
 
 
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit of the pieces by decreasing length: each goes to the fullest sequence that has room. Sequences of one gap are one entry."""
+    open_: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]  # by gap: patterns and how many sequences have them
+    gaps: list[int] = []  # gaps that sequences have, sorted
+    for length in range(capacity, 0, -1):
+        n = int(left[length])
+        while n:
+            at = bisect_left(gaps, length)
+            gap = gaps[at] if at < len(gaps) else capacity
+            if at < len(gaps):
+                pattern, have = open_[gap].popitem()
+                if not open_[gap]:
+                    gaps.pop(at)
+            else:
+                pattern, have = (), n // (capacity // length) or 1
+            # as many pieces as each of so many sequences takes, one after the other, as best fit would
+            each = min(gap // length, n)
+            times = min(have, n // each)
+            if times < have:
+                _open(open_, gaps, gap, pattern, have - times)
+            _open(open_, gaps, gap - each * length, pattern + (length,) * each, times)
+            n -= each * times
+    return [x for patterns in open_ for x in patterns.items()]
+
+
+def _open(open_: list[dict[tuple[int, ...], int]], gaps: list[int], gap: int, pattern: tuple[int, ...], times: int) -> None:
+    if not open_[gap]:
+        insort(gaps, gap)
+    open_[gap][pattern] = open_[gap].get(pattern, 0) + times
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths and how many sequences follow each, using every piece once. counts: pieces by length.
+
+    Both patterns by exact sums and plain best fit are made, and the ones of the fewer sequences are returned.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        left[length] = n
+    return min((_exact_first(left.copy(), capacity), _best_fit(left, capacity)), key=lambda found: sum(n for _, n in found))
+
+
 def _places(patterns: list[tuple[tuple[int, ...], int]], capacity: int) -> list[tuple[np.ndarray, ...]]:
     """By length: where ranges of piece numbers begin, and the first sequence and the offset of each range."""
     rows: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]

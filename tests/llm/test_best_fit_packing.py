@@ -1,3 +1,5 @@
+import bisect
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -87,3 +89,32 @@ def test_rows(spark, monkeypatch):
 def test_query_packs_near_the_bound(spark):
     rows = b.op4_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
     assert len({r.sequence_id for r in rows}) <= -(-sum(r.length for r in rows) // 4096) + 1
+
+
+def best_fit_decreasing(counts, capacity):
+    gaps, n = [], 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            k = bisect.bisect_left(gaps, length)
+            gap = gaps.pop(k) if k < len(gaps) else capacity
+            n += gap == capacity
+            bisect.insort(gaps, gap - length) if gap > length else None
+    return n
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.sampled_from(["uniform", "narrow", "heavy", "few"]), st.integers(0, 10**6))
+def test_never_more_sequences_than_plain_best_fit(shape, seed):
+    rng, capacity = random.Random(seed), 256
+    lengths = {"uniform": range(1, capacity + 1), "narrow": range(60, 110), "heavy": [min(capacity, int(rng.paretovariate(1) * 5)) for _ in range(200)], "few": [rng.randint(1, capacity) for _ in range(5)]}[shape]
+    counts = {x: rng.randint(1, 30) for x in lengths}
+    patterns = b.plan(counts, capacity)
+    used = Counter()
+    for pattern, times in patterns:
+        assert sum(pattern) <= capacity and times > 0
+        for x in pattern:
+            used[x] += times
+    assert used == Counter(counts)
+    n, plain = sum(times for _, times in patterns), best_fit_decreasing(counts, capacity)
+    assert -(-sum(x * k for x, k in counts.items()) // capacity) <= n <= plain
+    assert sum(times for _, times in b._best_fit(np.array([counts.get(x, 0) for x in range(capacity + 1)]), capacity)) == plain
