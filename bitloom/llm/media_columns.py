@@ -1,7 +1,7 @@
 """Media columns: texts as lossless grey images in a binary column, and perceptual hashes of the images.
 
 A payload becomes a PNG file of 8-bit grey samples, 64 to a row. The reader goes through the chunks, tests
-each checksum, inflates the data and undoes the row filters with numpy. The feature is the sign pattern of the
+each checksum, inflates the data and undoes the row filters with numpy, those that need neighbours to the left and above by diagonals. The feature is the sign pattern of the
 lowest 8 x 8 cosine-transform coefficients of the image, shrunk to 32 x 32 by area.
 """
 
@@ -37,13 +37,39 @@ def padded(data: bytes, width: int = WIDTH) -> bytes:
     return data + bytes(-len(data) % width if data else width)
 
 
-def encode_png(payload: bytes, width: int = WIDTH, level: int = 1, chunk_bytes: int = 1 << 18) -> bytes:
-    """A grey PNG of the payload, whose length is a positive multiple of width; rows are not filtered, which suits text."""
+def filtered(rows: np.ndarray, allowed: tuple[int, ...] = (0, 1, 2)) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, the kind of filter and the filtered bytes: of the allowed kinds the one whose bytes, as signed numbers, are least in sum, as is customary."""
+    wide = rows.astype(np.int16)
+    up = np.zeros_like(wide)
+    up[1:] = wide[:-1]
+    left, corner = np.zeros_like(wide), np.zeros_like(wide)
+    left[:, 1:], corner[:, 1:] = wide[:, :-1], up[:, :-1]
+    guess = (lambda: 0, lambda: left, lambda: up, lambda: (left + up) >> 1, lambda: _nearest(left, up, corner))
+    made = np.stack([(wide - guess[k]()).astype(np.uint8) for k in allowed])
+    best = np.abs(made.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64).argmin(0)
+    return np.array(allowed, np.uint8)[best], made[best, np.arange(len(rows))]
+
+
+def _nearest(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Of the three neighbours the one nearest to left + up - corner; the first of equals."""
+    from_left, from_up, from_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+    return np.where((from_left <= from_up) & (from_left <= from_corner), left, np.where(from_up <= from_corner, up, corner))
+
+
+#: Rows whose filters are chosen together, and rows gone through by diagonals together: they bound memory.
+ROWS, SLOPE = 1 << 14, 256
+
+
+def encode_png(payload: bytes, width: int = WIDTH, level: int = 1, chunk_bytes: int = 1 << 18, allowed: tuple[int, ...] = (0, 1, 2)) -> bytes:
+    """A grey PNG of the payload, whose length is a positive multiple of width, with a filter of the allowed kinds chosen for each row. By default those that are undone by sums."""
     if not payload or len(payload) % width:
         raise ValueError(f"{len(payload)} bytes are no whole rows of {width}")
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
     lines = np.zeros((len(rows), width + 1), np.uint8)
-    lines[:, 1:] = rows
+    for k in range(0, len(rows), ROWS):
+        first = max(0, k - 1)  # a filter looks at the row above
+        kinds, made = filtered(rows[first : k + ROWS], allowed)
+        lines[k : k + ROWS, 0], lines[k : k + ROWS, 1:] = kinds[k - first :], made[k - first :]
     packed = zlib.compress(lines.tobytes(), level)
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
     body = b"".join(_chunk(b"IDAT", packed[k : k + chunk_bytes]) for k in range(0, len(packed), chunk_bytes))
@@ -87,35 +113,46 @@ def decode_png(data: bytes) -> np.ndarray:
 
 
 def unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """Samples from filtered rows; one byte is one sample. Runs of rows that need no other row are done at once."""
-    if not kinds.any():
-        return lines.copy()
-    out = np.zeros_like(lines)
-    above = np.zeros(lines.shape[1], np.uint8)
-    for y, kind in enumerate(kinds):
-        line = lines[y]
-        if kind == 0:
-            out[y] = line
-        elif kind == 1:
-            out[y] = np.cumsum(line, dtype=np.uint64).astype(np.uint8)
-        elif kind == 2:
-            out[y] = line + above
-        elif kind in (3, 4):
-            left = corner = 0
-            row = out[y]
-            for x, (value, up) in enumerate(zip(line.tolist(), above.tolist(), strict=True)):
-                if kind == 3:
-                    guess = (left + up) >> 1
-                else:
-                    guess = min((left, up, corner), key=lambda c, p=left + up - corner: abs(p - c))
-                left, corner = (value + guess) & 255, up
-                row[x] = left
-        else:
-            raise BadImage(f"unknown filter {kind}")
-        above = out[y]
+    """Samples from filtered rows; one byte is one sample. Rows that look at none above, or at whole ones alone, are sums; the others need their neighbours to the left and above
+    first, so runs of them are gone through by diagonals, each of which is one array step."""
+    if (kinds > 4).any():
+        raise BadImage(f"unknown filter {int(kinds.max())}")
+    out = lines.copy()
+    left = kinds == 1
+    out[left] = np.cumsum(lines[left], axis=1, dtype=np.uint64).astype(np.uint8)
+    edges = np.flatnonzero(np.diff(np.where(kinds < 2, 0, np.where(kinds == 2, 1, 2)), prepend=-1, append=-1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        above = out[a - 1] if a else np.zeros(lines.shape[1], np.uint8)
+        if kinds[a] == 2:
+            out[a:b] = np.cumsum(np.concatenate([above[None], lines[a:b]]), axis=0, dtype=np.uint64)[1:].astype(np.uint8)
+        elif kinds[a] > 2:
+            for k in range(a, b, SLOPE):
+                out[k : min(b, k + SLOPE)] = above = _by_diagonals(kinds[k : min(b, k + SLOPE)], lines[k : min(b, k + SLOPE)], above)
+                above = above[-1]
     return out
 
 
+def _by_diagonals(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Samples of average and Paeth rows. Sample x of row y lies on diagonal x + y; its neighbours lie on the two before."""
+    height, width = lines.shape
+    slope = np.zeros((height, height + width - 1), np.int16)  # sample x of row y at column x + y
+    x, y = np.arange(width), np.arange(height)[:, None]
+    slope[y, x + y] = lines
+    value = np.zeros((height + 1, height + width + 1), np.int16)  # one row and one column more before the first; row y at column x + y + 2
+    value[0, 1 : width + 1] = above
+    mean = (kinds == 3)[:, None]
+    for d in range(height + width - 1):
+        low, high = max(0, d - width + 1), min(height, d + 1)
+        rows = np.arange(low, high)
+        start = (d - rows) == 0
+        own_left = np.where(start, 0, value[rows + 1, d + 1])
+        up = value[rows, d + 1]
+        corner = np.where(start, 0, value[rows, d])
+        guess = np.where(mean[rows, 0], (own_left + up) >> 1, _nearest(own_left, up, corner))
+        value[rows + 1, d + 2] = (slope[rows, d] + guess) & 255
+    return value[y + 1, x + y + 2].astype(np.uint8)
+
+
 def _shrunk(image: np.ndarray, size: int, axis: int) -> np.ndarray:
     """Means over `size` equal parts of an axis, whose edges may cut samples."""
     n = image.shape[axis]

@@ -31,6 +31,27 @@ def test_every_filter_is_undone(kind):
     assert (m.decode_png(filtered(image, kind)) == image).all()
 
 
+@pytest.mark.parametrize("allowed", [(0, 1, 2), (0, 1, 2, 3, 4), (4,), (3, 4)])
+def test_mixed_filters_are_undone(allowed, monkeypatch):
+    monkeypatch.setattr(m, "SLOPE", 5)
+    monkeypatch.setattr(m, "ROWS", 9)
+    rng = np.random.default_rng(7)
+    rows = np.cumsum(rng.integers(-9, 10, (60, 64)), axis=1) + np.cumsum(rng.integers(-90, 90, (60, 1)), axis=0)
+    rows[10:20] = rng.integers(0, 5, (10, 64))
+    payload = rows.astype(np.uint8).tobytes()
+    data = m.encode_png(payload, allowed=allowed)
+    assert m.decode_png(data).tobytes() == payload
+    kinds = set(zlib.decompress(data[41 : data.index(b"IEND") - 8])[::65])
+    assert kinds <= set(allowed) and len(kinds) > (len(allowed) > 1)
+
+
+def test_texts_are_filtered_and_read_back():
+    for text in (b"", b"a", b"some text of more than one row, " * 40, bytes(range(256)) * 9000):
+        payload = m.padded(text)
+        data = m.encode_png(payload)
+        assert m.decode_png(data).tobytes() == payload
+
+
 def test_damage_is_found():
     data = bytearray(m.encode_png(m.padded(b"some text" * 50)))
     data[60] ^= 1
@@ -47,6 +68,19 @@ def test_cosine_hash_is_the_transform_by_definition():
     assert m.cosine_hash(image) == f"{int(bits, 2):016x}"
 
 
+def test_query(spark):
+    base = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    rows = m.op10_media_columns(spark, base).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        stored = m.encode_png(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), m.cosine_hash(np.frombuffer(payload, np.uint8).reshape(-1, 64)))
+
+
 def test_rows(spark):
     texts = [None, "", "a" * 64, "é" * 5000, "a" * 64]
     docs = spark.createDataFrame([(i if i < 4 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, media string")
