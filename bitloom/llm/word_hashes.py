@@ -66,10 +66,10 @@ def _hashed(part: bytes, first: np.ndarray, length: np.ndarray, halves: int) ->
 
 
 class Words:
-    """The words of texts, in order."""
+    """The words of texts, in order. With spans, `begin` and `size` say where each stands in the texts joined by line breaks."""
 
-    def __init__(self, texts: list[bytes], halves: int = 2):
-        starts, lines, hashes, before = [], [], [], 0
+    def __init__(self, texts: list[bytes], halves: int = 2, spans: bool = False):
+        starts, lengths, lines, hashes, before = [], [], [], [], 0
         for at, part in _stretches(texts):
             data = np.frombuffer(part, np.uint8)
             blank = BLANK[data]
@@ -78,12 +78,15 @@ class Words:
             first, last = turns[::2], turns[1::2]
             breaks = np.flatnonzero(data == 10)
             starts.append(first + at)
+            lengths.append(last - first)
             lines.append(np.searchsorted(breaks, first) + before)
             before += len(breaks)
             hashes.append(_hashed(part, first, last - first, halves))
         put = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
         #: rows of 64-bit hashes
         self.hashes = np.concatenate(hashes, axis=1) if hashes else np.zeros((halves, 0), np.uint64)
+        if spans:
+            self.begin, self.size = put(starts), put(lengths)
         #: number of each word's line among the lines of all texts
         self.line = put(lines)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)

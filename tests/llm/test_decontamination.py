@@ -63,6 +63,7 @@ def test_equals_brute_force(spark, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert rows(d.contamination(docs, items)) == brute(DOCS, ITEMS)
     monkeypatch.setattr(d, "BLOCK_BYTES", 20)
+    assert {(r.doc_id, *r.near_items) for r in d.contamination(docs, items, near=0).collect()} >= {(1, "1", "10"), (6, "2")}
     assert rows(d.contamination(docs, items)) == brute(DOCS, ITEMS)
     assert d.contamination(docs.limit(0), items).count() == 0
     assert all(not r.hits for r in d.contamination(docs, items.limit(0)).collect())
@@ -71,8 +72,35 @@ def test_equals_brute_force(spark, monkeypatch):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x blue y green"), (2, "red blue"), (3, "green"), (4, "green blue x x x red"), (5, "blue green red")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
-    found = {r.doc_id for r in d.contamination(docs, items, slop=2).collect() if r.items}
-    assert found == {1, 5}
+    assert {r.doc_id for r in d.contamination(docs, items, near=2).collect() if r.near_items} == {1, 5}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdx"), max_size=30), min_size=1, max_size=4), st.lists(st.lists(st.sampled_from("abcd"), max_size=7), max_size=4), st.integers(0, 3), st.sampled_from([1, 50]))
+def test_many_phrases_equal_brute_force(docs, items, slop, chunk):
+    texts = [" ".join(ws) for ws in docs]
+    terms, counts, positions, n_words = d.indexed(texts)
+    shard = d.Shard(terms, counts.astype("<i4").tobytes(), np.diff(positions, prepend=0).astype("<i4").tobytes(), n_words.tolist())
+    phrases = d.Phrases([(str(k), " ".join(ws)) for k, ws in enumerate(items)], 4)
+    before, d.CHUNK = d.CHUNK, chunk
+    (which, starts), close = shard.seek(phrases, slop)
+    d.CHUNK = before
+    want, may = set(), set()
+    for w, row in enumerate(phrases.windows.tolist()):
+        window = [phrases.terms[t].decode() for t in row if t >= 0]
+        base = 0
+        for ws in docs:
+            want |= {(w, base + k) for k in range(len(ws) - len(window) + 1) if ws[k : k + len(window)] == window}
+            if any(set(window) <= set(ws[k : k + len(window) + slop]) for k in range(len(ws))):
+                may.add(w)
+            base += len(ws) + 1
+    assert set(zip(which.tolist(), starts.tolist(), strict=True)) == want and may <= set(close.tolist())
+    found = {tuple(phrases.terms[t].decode() for t in row if t >= 0): [phrases.names[i] for i in phrases.owners[phrases.firsts[w] : phrases.firsts[w + 1]]] for w, row in enumerate(phrases.windows.tolist())}
+    plain = {}
+    for k, ws in enumerate(items):
+        for i in range(max(1, len(ws) - 3)) if ws else ():
+            plain.setdefault(tuple(ws[i : i + 4]), set()).add(str(k))
+    assert found == {w: sorted(v) for w, v in plain.items()}
 
 
 @settings(max_examples=200, deadline=None)
