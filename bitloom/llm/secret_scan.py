@@ -1,7 +1,7 @@
 """Secret scans that follow encodings: a worklist of layers, each rescanned, with spans mapped to the source text.
 
 The text itself is the first layer. In every layer, runs of percent-encoding, of Unicode escapes and of base64 are
-decoded; base64 whose bytes are compressed streams is inflated; base64 wrapped in lines is decoded joined, too. What comes out is a new layer unless the same
+decoded; bytes that hold compressed streams, from base64, from escapes or from other streams, are inflated; base64 wrapped in lines is decoded joined, too. What comes out is a new layer unless the same
 characters were seen before in this text (cycle detection), so the worklist reaches a fixpoint. Each character of a layer keeps
 the source span that it came from: single characters through percent and Unicode decoding, groups of four digits through base64, the
 whole run through compression.
@@ -35,6 +35,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are whole, so shorter ones can be lef
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)")
+#: Bytes written as escapes, one after the other.
+BYTES, UNITS = re.compile(r"(?:\\x[0-9A-Fa-f]{2}){8,}"), re.compile(r"(?:\\u00[0-9A-Fa-f]{2}){8,}")
 BASE64, PART = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
 #: Base64 wrapped in lines, and its lines.
 WRAPPED, LINE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}"), re.compile(r"[A-Za-z0-9+/_-]+=*")
@@ -47,11 +49,14 @@ MAX_LAYER_BYTES = 64 << 20
 
 @dataclass
 class Layer:
-    """Decoded text; starts and ends give the source span of each character (None: the source itself)."""
+    """Decoded text; starts and ends give the source span of each character (None: the source itself). If it comes from bytes that hold compressed streams, these, with the source span of each."""
 
     text: str
     starts: np.ndarray | None
     ends: np.ndarray | None
+    data: bytes = b""
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
@@ -118,6 +123,8 @@ def _decompressor(data: bytes):
     return None
 
 
+#: How streams begin, but for zlib's, which is too short a sign within other bytes.
+STREAM = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 #: Bytes of output asked for at once.
 STEP = 1 << 20
 
@@ -165,6 +172,59 @@ def _spans(layer: Layer, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     return layer.starts[start:end], layer.ends[start:end]
 
 
+def _holding(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple:
+    """The last fields of a layer of these bytes: none, unless they hold streams."""
+    return (data, low, high) if _decompressor(data) or STREAM.search(data) else ()
+
+
+def _opened_streams(data: bytes, low: np.ndarray, high: np.ndarray, unopened: set[tuple]) -> Iterator[Layer]:
+    """What the compressed streams in some bytes hold, wherever they begin. All spans are those of the whole bytes from there on."""
+    at = {m.start() for m in STREAM.finditer(data)} | ({0} if _decompressor(data) else set())
+    done = 0
+    for k in sorted(at):
+        if k >= done:  # else inside of one that was read
+            rest, own = data[k:], (int(low[k:].min()), int(high[k:].max()))
+            whole = yield from _windows(rest, *own, unopened, (own[0], rest[:12]), weak=rest[:1] == b"x")
+            done = len(data) if whole else k + 1
+
+
+def _windows(data: bytes, low: int, high: int, unopened: set[tuple], mark: tuple, weak: bool) -> Iterator[Layer]:
+    """Layers of what compressed streams hold, at most MAX_LAYER_BYTES each; returns whether they were whole."""
+
+    def window(content: bytes) -> Layer:
+        text = content.decode(errors="replace")
+        spans = lambda n: (np.broadcast_to(np.int64(low), n), np.broadcast_to(np.int64(high), n))
+        return Layer(text, *spans(len(text)), *_holding(content, *spans(len(content))))
+
+    held, whole = bytearray(), True
+    try:
+        for piece in _inflated(data):
+            held += piece
+            while len(held) > MAX_LAYER_BYTES:
+                unopened.add(mark)
+                yield window(bytes(held[:MAX_LAYER_BYTES]))
+                del held[: MAX_LAYER_BYTES - MAX_LAYER_BYTES // 4]
+    except (EOFError, ValueError):
+        whole = False
+        if not weak:
+            unopened.add(mark)
+    if held:
+        yield window(bytes(held))
+    return whole
+
+
+def _from_runs(layer: Layer, pattern: re.Pattern, digits: int, unopened: set[tuple]) -> Iterator[Layer]:
+    """What streams hold that are written as runs of escaped bytes, each of so many characters, hexadecimal digits last."""
+    starts, ends = None, None
+    for m in pattern.finditer(layer.text):
+        run = m.group()
+        data = bytes.fromhex("".join(run[k + digits - 2 : k + digits] for k in range(0, len(run), digits)))
+        if _decompressor(data) or STREAM.search(data):
+            if starts is None:
+                starts, ends = _spans(layer, 0, len(layer.text))
+            yield from _opened_streams(data, starts[m.start() : m.end() : digits], ends[m.start() + digits - 1 : m.end() : digits], unopened)
+
+
 def _from_percent(layer: Layer) -> Layer | None:
     """The whole layer with its runs of percent-encoding replaced: secrets may be encoded in part."""
     text, low, high, at = [], [], [], 0
@@ -218,7 +278,7 @@ def _from_base64(layer: Layer, m: re.Match, streams: Streams) -> Iterator[Layer]
     plain = False
     for new in _decoded_base64(layer, [m.span()], streams):
         yield new
-        plain = "\ufffd" not in new.text and sum(c.isprintable() or c in "\t\n\r" for c in new.text) >= 0.95 * len(new.text)
+        plain = bool(new.data) or "\ufffd" not in new.text and sum(c.isprintable() or c in "\t\n\r" for c in new.text) >= 0.95 * len(new.text)
     if plain or streams.whole and streams.whole[-1] == m.span():
         return
     for p in PART.finditer(m.group()):
@@ -272,46 +332,48 @@ def _decoded_base64(layer: Layer, runs: list[tuple[int, int]], streams: Streams,
         return
     starts, ends = (np.concatenate(x) for x in zip(*(_spans(layer, a, b) for a, b in runs), strict=True))
     if _decompressor(data):
-        low, high = int(starts.min()), int(ends.max())
-
-        def window(content: bytes) -> Layer:
-            text = content.decode(errors="replace")
-            return Layer(text, np.broadcast_to(np.int64(low), len(text)), np.broadcast_to(np.int64(high), len(text)))
-
-        start, end, mark = runs[0][0], runs[-1][1], (low, data[:12])
+        start, end, mark = runs[0][0], runs[-1][1], (int(starts.min()), data[:12])
         if start in streams.begun:
             return
         streams.begun.add(start)
-        held, size, whole = bytearray(), 0, True
-        try:
-            for piece in _inflated(data):
-                held += piece
-                size += len(piece)
-                while len(held) > MAX_LAYER_BYTES:
-                    streams.unopened.add(mark)
-                    yield window(bytes(held[:MAX_LAYER_BYTES]))
-                    del held[: MAX_LAYER_BYTES - MAX_LAYER_BYTES // 4]
-        except (EOFError, ValueError) as e:
-            whole = False
-            # two bytes are a weak sign of zlib: other data may have them
-            if data[0] != 0x78 or not part and (size or isinstance(e, EOFError)):
-                streams.cut.append((start, end, mark))
-        if held:
-            yield window(bytes(held))
+        marks: set[tuple] = set()
+        whole = yield from _windows(data, int(starts.min()), int(ends.max()), marks, mark, weak=False)
         if whole:
             streams.whole.append((start, end))
+            streams.unopened |= marks
             return
+        # two bytes are a weak sign of zlib: other data may have them
+        if data[0] != 0x78 or not part and _begins(data):
+            streams.cut.append((start, end, mark))
     group = np.arange(len(data)) // 3 * 4
-    yield Layer(*_characters(data, starts[group], ends[np.minimum(group + 3, len(starts) - 1)]))
+    low, high = starts[group], ends[np.minimum(group + 3, len(starts) - 1)]
+    yield Layer(*_characters(data, low, high), *(_holding(data, low, high) if STREAM.search(data, 1) else ()))
+
+
+def _begins(data: bytes) -> bool:
+    """Whether anything can be read of a stream that isn't whole, or nothing speaks against one that is cut."""
+    try:
+        for _ in _inflated(data):
+            return True
+    except EOFError:
+        return True
+    except ValueError:
+        return False
+    return False
 
 
 def _decoded(layer: Layer, unopened: set[tuple]) -> Iterator[Layer | None]:
     """The layers made from a layer."""
     streams = Streams(unopened)
+    if layer.data:
+        yield from _opened_streams(layer.data, layer.low, layer.high, unopened)
     if "%" in layer.text:
         yield _from_percent(layer)
+        yield from _from_runs(layer, PERCENT, 3, unopened)
     if "\\" in layer.text or "&#" in layer.text:
         yield _from_escapes(layer)
+        yield from _from_runs(layer, BYTES, 4, unopened)
+        yield from _from_runs(layer, UNITS, 6, unopened)
     if "\0" in layer.text:
         yield _from_wide(layer)
     if "\n" in layer.text:

@@ -167,3 +167,43 @@ def test_query(spark, tmp_path):
     rows = {r.doc_id: r for r in s.op1_secret_scan(spark, str(tmp_path)).collect()}
     assert rows[3].spans == "assign:2:23" and rows[3].base_sha256 == hashlib.sha256(b"assign:2:23").hexdigest() and rows[3].n_assign == 1
     assert rows[4].spans == "" and rows[4].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def _sixty_four(data):
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda x: _sixty_four(gzip.compress(gzip.compress(x))),
+        lambda x: _sixty_four(zlib.compress(zlib.compress(x))),
+        lambda x: _sixty_four(gzip.compress(zlib.compress(bz2.compress(x)))),
+        lambda x: _sixty_four(lzma.compress(lzma.compress(x) + b"more")),
+        lambda x: _sixty_four(gzip.compress(b"first") + gzip.compress(x)),
+        lambda x: _sixty_four(b"head " + gzip.compress(x)),
+        lambda x: _sixty_four(_sixty_four(gzip.compress(gzip.compress(x))).encode()),
+        lambda x: _sixty_four(gzip.compress(_sixty_four(gzip.compress(x)).encode())),
+        lambda x: "".join(f"%{b:02x}" for b in gzip.compress(zlib.compress(x))),
+        lambda x: "".join(f"\\x{b:02X}" for b in bz2.compress(x)),
+        lambda x: "".join(f"\\u{b:04x}" for b in gzip.compress(x)),
+    ],
+)
+def test_layers_of_bytes(wrap):
+    run = wrap(b"password = hunter2hunter2 " + bytes(range(97, 122)) * 9)
+    base, every, unopened = s.scan(f"see: {run} .")
+    assert base == [] and unopened == 0
+    assert (5, 0, 5 + len(run)) in every or any(5 <= a < b <= 5 + len(run) and k == 0 for a, k, b in every)
+
+
+def test_streams_that_hold_themselves_end():
+    data = gzip.compress(b"token=abcdef123456")
+    for _ in range(30):
+        data = gzip.compress(data)
+    assert any(k == 0 for _, k, _ in s.scan(_sixty_four(data))[1])
+
+
+def test_long_texts():
+    text = "word " * 300_000 + "secret=abcdef999 " + "%7a" * 50_000 + " end"
+    base, every, _ = s.scan(text)
+    assert base == [(1_500_000, 0, 1_500_016)] == every
