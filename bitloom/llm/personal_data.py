@@ -31,10 +31,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 OTHER = 4
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|\s+")
-#: What an entity may hold; a region is a stretch of it that has an @, the word "at" in brackets, or a digit.
+#: What an entity may hold; a region is a stretch of it that has an @, the word "at" in brackets or before a "dot", or digits.
 NUMBERS = re.compile(r"[0-9][0-9\x20().+\-\[\]/]*")
-AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
-SEED = re.compile(r"[0-9][0-9\x20().+\-\[\]/]*(?![\w.+-]*@)|[^\s@]{0,64}@[^\s@]{0,255}|[\w.+-]{1,64}\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?[\w.-]{1,255}(?:\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?[\w-]{1,63})*")
+AT = re.compile(r"[\[({]\s?at\s?[\])}]|(?<=\s)at(?=\s[\w-]+\sdot\s)", re.I)
+#: What stands after the "at" of an address that is written out.
+HOST = re.compile(r"\s?[\w.-]*(?:\s?(?:[\[({]\s?dot\s?[\])}]|(?<=\s)dot(?=\s))\s?[\w-]+)*", re.I)
 MAX_TOKENS = {0: 24, 1: 13, 2: 9, 3: 13}
 
 
@@ -78,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-EMAIL_SHAPE = re.compile(r"[\w.%+-]+\s?(?:@|[\[({]\s?at\s?[\])}])\s?[\w-]+(?:\s?(?:\.|[\[({]\s?dot\s?[\])}])\s?[\w-]+)+", re.I)
+EMAIL_SHAPE = re.compile(r"[\w.%+-]+\s?(?:@|[\[({]\s?at\s?[\])}]|(?<=\s)at(?=\s))\s?[\w-]+(?:\s?(?:\.|[\[({]\s?dot\s?[\])}]|(?<=\s)dot(?=\s))\s?[\w-]+)+", re.I)
 IP_SHAPE = re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}")
 PHONE_SHAPES = (
     ("intl", re.compile(r"\+[0-9][0-9\x20().-]*[0-9]")),
@@ -94,6 +95,7 @@ CUES = {
     2: frozenset("card visa mastercard credit cc amex payment".split()),
     3: frozenset("phone tel call fax mobile cell telephone number whatsapp".split()),
 }
+TOPS = frozenset("com org net edu gov io info biz de fr es it uk nl eu us ca".split())
 DENY = frozenset("id no version v order invoice isbn ref build serial page item part".split())
 
 
@@ -113,7 +115,7 @@ def features(kind: int, text: str, start: int, end: int, before: str) -> list[st
     if kind == 0:
         whole = bool(EMAIL_SHAPE.fullmatch(body))
         tail = re.search(r"[A-Za-z]{2,24}$", body)
-        out += [f"email:shape{int(whole)}", f"email:top{int(bool(tail))}", f"email:at{int('@' in body)}"]
+        out += [f"email:shape{int(whole)}", f"email:top{int(bool(tail))}", f"email:at{int('@' in body)}", f"email:known{int(body.rpartition(' ')[2].rpartition('.')[2].lower() in TOPS)}"]
     elif kind == 1:
         shape = bool(IP_SHAPE.fullmatch(body))
         parts = re.findall("[0-9]+", body)
@@ -153,19 +155,22 @@ class Region:
                 word = text[a : tokens[i][1]].lower()
 
 
+LEFT_OF_IP = str.maketrans("", "", "0123456789.[]()")
+
+
 def _possible(kind: int, text: str, a: int, b: int) -> bool:
     """Whether a segment may be of the kind at all: the model's support. It is wider than the base patterns."""
     body = text[a:b]
     if kind == 0:
-        return bool(EMAIL_SHAPE.fullmatch(body))
+        return "@" in body or AT.search(text, a, b) is not None
     if not ("0" <= body[-1] <= "9"):
         return False
     n = sum("0" <= c <= "9" for c in body)
     if kind == 1:
-        return 4 <= n <= 12 and bool(IP_SHAPE.fullmatch(body))
+        return 4 <= n <= 12 and body.count(".") >= 3 and body.translate(LEFT_OF_IP) == ""
     if kind == 2:
-        return 13 <= n <= 19 and bool(CARD_SHAPE.fullmatch(body))
-    return 9 <= n <= 15 and any(p.fullmatch(body) for _, p in PHONE_SHAPES)
+        return 12 <= n <= 19 and "(" not in body and "+" not in body
+    return 7 <= n <= 15 and (not body.isdigit() or body[0] in "0+")
 
 
 def _logsum(x: list[float]) -> float:
@@ -247,16 +252,36 @@ class Model:
 
 
 def regions(text: str) -> Iterator[Region]:
-    """Stretches that could hold entities, widened by what touches them."""
-    at = 0
-    for m in (SEED if "@" in text or AT.search(text) else NUMBERS).finditer(text):
-        a, b = max(m.start(), at), m.end()
-        if b <= a or not any(c.isdigit() or c == "@" or c in "[({" for c in text[a:b]):
-            continue
-        a = a - 1 if a > at and text[a - 1] in "+(" else a
-        a = a - 1 if a > at and text[a - 1] in "+" else a
-        part = text[a:b]
-        if "@" not in part and not AT.search(part) and sum("0" <= c <= "9" for c in part) < 4:
+    """Stretches that could hold entities, widened by what touches them. No part of the text is gone through more than twice."""
+    found, free = [m.span() for m in NUMBERS.finditer(text)], 0
+    k = text.find("@")
+    while k >= 0:
+        start, end = k, k + 1
+        while start > free and not text[start - 1].isspace() and text[start - 1] != "@":
+            start -= 1
+        while end < len(text) and not text[end].isspace() and text[end] != "@":
+            end += 1
+        found.append((start, end))
+        free = end
+        k = text.find("@", end)
+    free = 0
+    for m in AT.finditer(text):
+        start = m.start()
+        start -= start > free and text[start - 1].isspace()
+        while start > free and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        free = HOST.match(text, m.end()).end()
+        found.append((start, free))
+    at, merged = 0, []
+    for a, b in sorted(found):
+        if merged and a < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    for a, b in merged:
+        for _ in range(2):
+            a -= a > at and text[a - 1] in "+("
+        if text.find("@", a, b) < 0 and not AT.search(text, a, b) and sum("0" <= c <= "9" for c in text[a:b]) < 4:
             continue
         at = b
         yield Region(text, a, b)
@@ -279,7 +304,7 @@ def _invented(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 
     def email() -> str:
         name, host, top = rng.choice([word(), f"{word()}.{number(2)}", f"{word()}_{word()}"]), word(), rng.choice(["com", "org", "net", "co.uk", "de"])
-        return rng.choice([f"{name}@{host}.{top}", f"{name}@{word()}.{host}.{top}", f"{name} [at] {host} [dot] {top.split('.')[-1]}", f"{name}(at){host}.{top}"])
+        return rng.choice([f"{name}@{host}.{top}", f"{name}@{word()}.{host}.{top}", f"{name} [at] {host} [dot] {top.split('.')[-1]}", f"{name}(at){host}.{top}", f"{name} at {host} dot {top.split('.')[-1]}"])
 
     def ip() -> str:
         parts = [str(rng.randint(1, 255)) for _ in range(4)]
@@ -289,7 +314,7 @@ def _invented(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         body = number(16)
         return body if not luhn(body) else bad_card()
 
-    decoys = [lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: number(rng.randint(4, 12)), bad_card, lambda: f"{number(3)}.{rng.randint(256, 999)}.{number(2)}.{number(1)}", lambda: f"v{number(1)}.{number(1)}.{number(2)}.{number(1)}", lambda: f"order {number(3)}-{number(3)}-{number(4)}", lambda: f"{number(2)}.{number(2)}.{number(2)}.{number(2)}.{number(2)}", lambda: f"@{word()}", lambda: f"{word()}@{word()}", lambda: f"{number(4)} {number(4)}", lambda: f"{word()}{number(6)}{word()}", lambda: f"{number(3)},{number(3)},{number(3)}", lambda: f"{number(3)} {number(3)} {number(3)}"]
+    decoys = [lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: number(rng.randint(4, 12)), bad_card, lambda: f"{number(3)}.{rng.randint(256, 999)}.{number(2)}.{number(1)}", lambda: f"v{number(1)}.{number(1)}.{number(2)}.{number(1)}", lambda: f"order {number(3)}-{number(3)}-{number(4)}", lambda: f"{number(2)}.{number(2)}.{number(2)}.{number(2)}.{number(2)}", lambda: f"@{word()}", lambda: f"{word()}@{word()}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"{number(4)}-{number(4)}", lambda: f"{number(3)}.{number(3)}.{number(3)}", lambda: f"{number(12)}", lambda: f"{number(4)} {number(4)}", lambda: f"{word()}{number(6)}{word()}", lambda: f"{number(3)},{number(3)},{number(3)}", lambda: f"{number(3)} {number(3)} {number(3)}"]
     text, found = word(), []
     for _ in range(rng.randint(1, 3)):
         kind = rng.choice([0, 1, 2, 3, OTHER, OTHER])
