@@ -26,24 +26,31 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.tables import arrow_schema, columns, kept, map_rows, table, written
+from bitloom.llm.tables import arrow_schema, columns, kept, record_batch, table, written
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker keeps; beyond it, it starts anew. It bounds memory, not results.
 KEPT_WORDS = 400_000
+#: Documents whose new words are looked up together.
+CHUNK_ROWS = 16
 #: Pieces to a hash bucket, about: what one task numbers at once.
 BUCKET_PIECES = 20_000
 
 # The tokenizer's own split of a word, for characters on which all Unicode versions agree.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile(r"[!-~¡-¬®-ɏ]+")
+PLAIN_WORDS = re.compile(r"[ !-~¡-¬®-ɏ]*")
 #: Python's white space that the tokenizer takes for characters, and the start of its special tokens.
 ODD = re.compile(r"[\x1c-\x1f]|<\|")
 
 
+#: Packers of so many ids.
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
@@ -70,25 +77,30 @@ class Encoder:
         return PIECES.findall(word)
 
     def _learn(self, words: set[str]) -> None:
-        split = {w: self._split(w) for w in words if PLAIN.fullmatch(w)}
-        new = [p for p in {p for ps in split.values() for p in ps} if p not in self.parts]
-        for part, found in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = _packed(found.ids)
-        for word, ps in split.items():
-            self.words[word] = b"".join(map(self.parts.__getitem__, ps))
-        rest = [w for w in words if w not in split]
+        if PLAIN_WORDS.fullmatch(" ".join(words)):
+            plain, rest = words, []
+        else:
+            plain = {w for w in words if PLAIN.fullmatch(w)}
+            rest = [w for w in words if w not in plain]
+        split = list(map(self._split, plain))
+        new = list({p for ps in split for p in ps}.difference(self.parts))
+        self.parts.update(zip(new, [_packed(found.ids) for found in self.bare.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+        part = self.parts.__getitem__
+        self.words.update(zip(plain, [part(ps[0]) if len(ps) == 1 else b"".join(map(part, ps)) for ps in split], strict=True))
         for word, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.words[word] = _packed(found.ids)
 
-    def ids(self, text: str) -> bytes:
-        if ODD.search(text):
-            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
-        words = text.split()
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of some texts, whose new words are looked up together."""
+        words = [None if ODD.search(t) else t.split() for t in texts]
         if len(self.words) + len(self.parts) > 2 * KEPT_WORDS:
             self.words, self.parts = {}, {}
-        if missing := {w for w in words if w not in self.words}:
-            self._learn(missing)
-        return b"".join(map(self.words.__getitem__, words))
+        self._learn(set().union(*filter(None, words)).difference(self.words))
+        known = self.words.__getitem__
+        return [_packed(self.whole.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
+
+    def ids(self, text: str) -> bytes:
+        return self.batch([text])[0]
 
 
 def encoder(name: str) -> Encoder:
@@ -106,18 +118,22 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
     A null or empty text gives one piece, the end id. Repeated rows give repeated pieces.
     """
 
-    def make():
-        ids_of, end = encoder(tokenizer).ids, np.array([end_id], "<u4").tobytes()
-
-        def each(key: int | None, text: str | None) -> Iterator[tuple]:
-            ids = ids_of(text or "") + end
-            for k in range(0, len(ids), 4 * capacity):
-                part = ids[k : k + 4 * capacity]
-                yield key, k // 4 // capacity, k // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+    kinds = arrow_schema(schema)
 
-        return each
-
-    found = map_rows(columns(docs, key=f"{id_col}:long", text=text_col), make, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary", keeps=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            for first in range(0, batch.num_rows, CHUNK_ROWS):
+                part, rows = batch.slice(first, CHUNK_ROWS), []
+                for key, ids in zip(part.column(0).to_pylist(), of.batch([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    ids += end
+                    for k in range(0, len(ids), 4 * capacity):
+                        piece = ids[k : k + 4 * capacity]
+                        rows.append((key, k // 4 // capacity, k // 4, len(piece) // 4, zlib.crc32(piece), piece if with_ids else None))
+                yield record_batch(rows, kinds)
+
+    found = columns(docs, key=f"{id_col}:long", text=text_col).mapInArrow(run, schema)
     return found if with_ids else found.drop("ids")
 
 
