@@ -33,14 +33,16 @@ END_ID = 1
 #: Words whose ids a worker keeps; beyond it, it starts anew. It bounds memory, not results.
 KEPT_WORDS = 400_000
 #: Documents whose new words are looked up together.
-CHUNK_ROWS = 16
+CHUNK_ROWS = 8
 #: Pieces to a hash bucket, about: what one task numbers at once.
 BUCKET_PIECES = 20_000
 
-# The tokenizer's own split of a word, for characters on which all Unicode versions agree.
+# The tokenizer's own split of a word, for characters on which all Unicode versions agree; and the same for whole texts, in lower case, of characters up to U+024F, the lower case of which goes up to U+02AF.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = re.compile(r"[!-~¡-¬®-ɏ]+")
-PLAIN_WORDS = re.compile(r"[ !-~¡-¬®-ɏ]*")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-\u02af]+|[0-9²³¹¼-¾]|[^\sa-zªµºÀ-ÖØ-öø-\u02af0-9²³¹¼-¾]+")
+PLAIN = re.compile(r"[!-~¡-¬®-\u024f]+")
+#: Texts that PARTS splits: without characters whose lower case is beyond U+02AF or two characters.
+PLAIN_TEXT = re.compile(r"[\t-\r -~¡-¬®-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]*")
 #: Python's white space that the tokenizer takes for characters, and the start of its special tokens.
 ODD = re.compile(r"[\x1c-\x1f]|<\|")
 
@@ -67,37 +69,33 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    @staticmethod
-    def _split(word: str) -> list[str]:
-        word = word.lower()
-        if word.isalpha():
-            return [word]
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return PIECES.findall(word)
+    def _learn_parts(self, parts: set[str]) -> None:
+        new = list(parts.difference(self.parts))
+        self.parts.update(zip(new, [_packed(found.ids) for found in self.bare.encode_batch_fast(new, add_special_tokens=False)], strict=True))
 
     def _learn(self, words: set[str]) -> None:
-        if PLAIN_WORDS.fullmatch(" ".join(words)):
-            plain, rest = words, []
-        else:
-            plain = {w for w in words if PLAIN.fullmatch(w)}
-            rest = [w for w in words if w not in plain]
-        split = list(map(self._split, plain))
-        new = list({p for ps in split for p in ps}.difference(self.parts))
-        self.parts.update(zip(new, [_packed(found.ids) for found in self.bare.encode_batch_fast(new, add_special_tokens=False)], strict=True))
-        part = self.parts.__getitem__
-        self.words.update(zip(plain, [part(ps[0]) if len(ps) == 1 else b"".join(map(part, ps)) for ps in split], strict=True))
+        split = {w: PIECES.findall(w.lower()) for w in words if PLAIN.fullmatch(w)}
+        self._learn_parts({p for ps in split.values() for p in ps})
+        for word, ps in split.items():
+            self.words[word] = b"".join(map(self.parts.__getitem__, ps))
+        rest = [w for w in words if w not in split]
         for word, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.words[word] = _packed(found.ids)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of some texts, whose new words are looked up together."""
-        words = [None if ODD.search(t) else t.split() for t in texts]
         if len(self.words) + len(self.parts) > 2 * KEPT_WORDS:
             self.words, self.parts = {}, {}
+        # by part where the text is plain, else by word, else as a whole
+        plain = [PARTS.findall(t.lower()) if PLAIN_TEXT.fullmatch(t) and "<|" not in t else None for t in texts]
+        words = [t.split() if p is None and not ODD.search(t) else None for t, p in zip(texts, plain, strict=True)]
+        self._learn_parts(set().union(*filter(None, plain)))
         self._learn(set().union(*filter(None, words)).difference(self.words))
-        known = self.words.__getitem__
-        return [_packed(self.whole.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
+        part, word = self.parts.__getitem__, self.words.__getitem__
+        out = []
+        for text, p, w in zip(texts, plain, words, strict=True):
+            out.append(b"".join(map(part, p)) if p is not None else b"".join(map(word, w)) if w is not None else _packed(self.whole.encode(text, add_special_tokens=False).ids))
+        return out
 
     def ids(self, text: str) -> bytes:
         return self.batch([text])[0]

@@ -16,9 +16,10 @@ TOKENIZER, ENCODER = Tokenizer.from_file(PATH), b.Encoder(PATH)
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from([" ", "\n", "The", "don't", "it's", "x1y2", "É", "é", "İ", "ß", "ǅ", "\x1c", " ", "<|endoftext|>", "<|", "Σς", "１２", "ª²¼", "$$$", "­", "　", "한국", "́"])), max_size=12))
+@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from([" ", "\n", "The", "don't", "it's", "x1y2", "É", "é", "İ", "ß", "ǅ", "\x1c", " ", "<|endoftext|>", "<|", "Σς", "１２", "ª²¼", "µº½", "Ⱥ", "Ǆ", "ǀƻ", "ÀÞÿ", "¡«×÷", "$$$", "­", "　", "한국", "́"])), max_size=12))
 def test_ids_are_the_tokenizers(parts):
     text = "".join(parts)
+    assert ENCODER.batch(["a b", text, text.lower()]) == [ENCODER.ids("a b"), ENCODER.ids(text), ENCODER.ids(text.lower())]
     assert np.frombuffer(ENCODER.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
@@ -118,3 +119,9 @@ def test_never_more_sequences_than_plain_best_fit(shape, seed):
     n, plain = sum(times for _, times in patterns), best_fit_decreasing(counts, capacity)
     assert -(-sum(x * k for x, k in counts.items()) // capacity) <= n <= plain
     assert sum(times for _, times in b._best_fit(np.array([counts.get(x, 0) for x in range(capacity + 1)]), capacity)) == plain
+
+
+def test_ids_of_every_plain_character():
+    chars = [chr(k) for k in range(0x250)]
+    for text in ("".join(chars), " ".join(chars), " x".join(chars), *chars, *(f"a{c}1'{c}S" for c in chars)):
+        assert np.frombuffer(ENCODER.ids(text), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
