@@ -6,8 +6,11 @@ upwards and half-to-even downwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,16 +70,19 @@ def round_up(n: Column, unit: int) -> Column:
 
 def word_array(values: Column) -> Column:
     """Words of an array of floats."""
-    return F.pandas_udf(lambda x: _each(x, lambda v: words_of_floats(np.asarray(v, np.float32)).astype(np.int32)), "array<int>", 200)(values)
+    return F.arrow_udf(lambda x: _each(x, lambda v: words_of_floats(v.astype(np.float32)).astype(np.int32)), "array<int>")(values)
 
 
 def float_array(words: Column) -> Column:
     """Floats of an array of words."""
-    return F.pandas_udf(lambda x: _each(x, lambda v: floats_of_words(np.asarray(v))), "array<float>", 200)(words)
+    return F.arrow_udf(lambda x: _each(x, lambda v: floats_of_words(v).astype(np.float32)), "array<float>")(words)
 
 
-def _each(values: pd.Series, change) -> pd.Series:
-    return values.map(lambda v: None if v is None else change(v))
+def _each(rows: pa.ListArray, change: Callable[[np.ndarray], np.ndarray]) -> pa.ListArray:
+    """The kernel over the members of all rows at once; null rows stay null."""
+    members = pa.array(change(rows.flatten().to_numpy(zero_copy_only=False)))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), members, mask=rows.is_null() if rows.null_count else None)
 
 
 # Numpy kernels.

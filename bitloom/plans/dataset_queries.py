@@ -147,7 +147,6 @@ _RULES = {
     "relative_source": ("NOT startswith(source_id, '/') AND NOT array_contains(split(source_id, '/'), '..')", "NOT starts_with(source_id, '/') AND NOT list_contains(string_split(source_id, '/'), '..')"),
     "within_context": ("least(32768, n_chars) > 0", "least(32768, n_chars) > 0"),
     "long_enough": ("n_chars >= 300", "n_chars >= 300"),
-    "gate_name": ("concat('G', doc_id) RLIKE '^G[0-9]+$'", "regexp_matches('G' || doc_id::VARCHAR, '^G[0-9]+$')"),
 }
 
 
@@ -181,7 +180,7 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     have = docs.where("doc_id % 2 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    return files.new_content(have, docs.select("text")).select("sha256", F.char_length("text").cast("long").alias("chars"))
+    return files.new_content(have, docs.select("text"), F.char_length("text").cast("long").alias("chars"))
 
 
 @query("template_cycle", "SELECT i::BIGINT AS sequence, ['order', 'invoice', 'ticket'][(i % 3 + 1)::INTEGER] AS kind FROM range(5000) t(i)")
@@ -200,7 +199,10 @@ def host_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.environment(spark)
 
 
-@query("layout_identity")
+_LAYOUT = '{"bits":4,"code_type":"uint32","group_size":64,"metadata_type":"bf16","mode":"affine","nibble_order":"low-first","token_growth":256}'
+
+
+@query("layout_identity", f"SELECT '{_LAYOUT}' AS layout, sha256('{_LAYOUT}') AS layout_id")
 def layout_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.layout_fingerprint(spark)
 

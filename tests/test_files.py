@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitloom.operators import accounting, datasets
-from bitloom.plans import registry
+from bitloom.operators.codec_pages import containers
+from bitloom.plans import registry, tensor_queries
 from bitloom.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +80,34 @@ def test_nulls_and_empty_tables(spark):
     assert accounting.ledger(entries).count() == 0
 
 
+def test_stored_containers(spark, tmp_path):
+    rows = registry.QUERIES["stream_containers"](spark, SF)
+    boxes = containers(tensor_queries._blobs(spark, SF)).select("label", "container", "pages").collect()
+    assert len(boxes) == rows.count()
+    for r in boxes:
+        (tmp_path / f"{r.label}.box").write_bytes(bytes(r.container))
+    (tmp_path / "cut.box").write_bytes(bytes(boxes[0].container)[:-5])
+    (tmp_path / "short.box").write_bytes(b"abc")
+    found = files.stored_containers(spark, str(tmp_path)).collect()
+    assert {r.path.rpartition("/")[2] for r in found if r.problem} == {"cut.box", "short.box"}
+    counts = {}
+    for r in found:
+        if not r.problem:
+            counts[r.stream] = counts.get(r.stream, 0) + 1
+    assert counts == {str(r.label): r.pages for r in boxes}
+
+
+def test_summary_is_one_line(spark):
+    assert files.summary(spark.createDataFrame([(1, "a\nb")], "n int, `x.y` string")) == '{"n":1,"x.y":"a\\nb"}'
+    with pytest.raises(ValueError):
+        files.summary(spark.createDataFrame([], "n int"))
+
+
+def test_environment_tells_why_what_is_missing(spark):
+    row = files.environment(spark).first()
+    assert row.ram_bytes > 0 and row.pyspark_version and all((row[c] is None) == (c in row.unavailable) for c in row.asDict() if c != "unavailable")
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_other_queries_run(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
