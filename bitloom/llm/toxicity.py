@@ -96,19 +96,20 @@ def solve(features: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, pen
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        names = sorted(model.weights)
+        self.bias, self.sizes, self.known = model.bias, model.sizes, {}
+        self.number, self.weights = {g: k for k, g in enumerate(names)}, [model.weights[g] for g in names]
 
     def __call__(self, text: str) -> float:
-        weights, known, has = self.model.weights, self.known, set()
+        number, known, has = self.number, self.known, set()
         for w in words_of(text):
             grams = known.get(w)
             if grams is None:
                 if len(known) >= KEPT_WORDS:
                     known.clear()
-                grams = known[w] = frozenset(g for g in ngrams(w, self.model.sizes) if g in weights) or frozenset()
-            if grams:
-                has |= grams
-        return float(1 / (1 + np.exp(-np.clip(self.model.bias + sum(weights[g] for g in sorted(has)), -500, 500))))
+                grams = known[w] = tuple({number[g] for g in ngrams(w, self.sizes) if g in number})
+            has.update(grams)
+        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(map(self.weights.__getitem__, sorted(has))), -500, 500))))
 
 
 def fold(key: int | None) -> int:
