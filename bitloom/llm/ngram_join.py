@@ -21,7 +21,7 @@ from bitloom.llm.components import components
 from bitloom.llm.key_exchange import PAIR, alike, blocks_for, in_blocks, in_order, per_block, unpacked
 from bitloom.llm.minhash_forest import CHUNK, RECORD, SPARE, differing, matched_depth, matches, most_differing, prefixes, records_of, signature
 from bitloom.llm.substring_dedup import rolled
-from bitloom.llm.tables import arrow_schema, columns, positional, record_batch, release, scan_bytes, table, written
+from bitloom.llm.tables import arrow_schema, columns, forget, positional, record_batch, release, scan_bytes, table, written
 from bitloom.llm.word_hashes import Words
 
 WORDS = 5
@@ -213,16 +213,19 @@ def _tile(items: np.ndarray, sets: list[np.ndarray]) -> list[tuple]:
 
 
 def links(docs: DataFrame, block_bytes: int | None = None, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """FOUND: rows with v are links between classes of different sets, enough to connect all that are linked; rows without v count u's links. `whole` says of a link that no other
+    """FOUND, as a table: rows with v are links between classes of different sets, enough to connect all that are linked; rows without v count u's links. `whole` says of a link that no other
     tile can have one of its group. docs: key, text."""
     n = blocks_for(scan_bytes(docs, "text"), *([block_bytes] if block_bytes else []))
     own = in_blocks(docs, n)
     edges = written(candidates(own, n), "edges")
-    sized = components(edges).join(edges.groupBy("v").agg(F.max("n").alias("n")), F.col("node") == F.col("v"))
+    roots = components(edges)
+    sized = roots.join(edges.groupBy("v").agg(F.max("n").alias("n")), F.col("node") == F.col("v"))
     groups = sized.groupBy("root").agg(F.ceil(8 * F.sum("n") / tile_bytes).cast("int").alias("parts"))
     bucket = (F.conv(F.hex(F.substring("node", 1, 8)), 16, 10).cast("decimal(20,0)") % n).cast("int")
     placed = sized.join(groups, "root").select(bucket.alias("bucket"), "node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "parts", "n")
     placed = written(placed, "placed")
+    forget(roots)
+    forget(edges)
     places = blocks_for(placed.agg(F.sum(8 * F.col("n") * F.col("parts"))).first()[0] or 0, tile_bytes)
 
     def serve(block: int, rows: pa.Table, told: pa.Table) -> list[tuple]:
@@ -267,7 +270,9 @@ def links(docs: DataFrame, block_bytes: int | None = None, tile_bytes: int = TIL
         return _table(rows, kinds)
 
     told = _told_places(_first_entries(own, n), placed.drop("n"))
-    return per_block(own, told, serve, SENT).groupBy("place").applyInArrow(verify, FOUND)
+    found = written(per_block(own, told, serve, SENT).groupBy("place").applyInArrow(verify, FOUND), "found")
+    forget(placed)
+    return found
 
 
 def _with_key(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -290,7 +295,7 @@ def _with_key(df: DataFrame, text: str, name: str) -> DataFrame:
 def _known(own: DataFrame, sets: DataFrame, block_bytes: int | None, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Per class: u, class_id, text_id, n_copies, n_links, and lead, the class that stands for the group. own: key, text; sets: key, u."""
     classes = sets.groupBy("u").agg(F.min("key").alias("text_id"), F.count("*").alias("n_copies"))
-    found = written(links(own, block_bytes, tile_bytes), "found")
+    found = links(own, block_bytes, tile_bytes)
     counts = found.where("v IS NULL").groupBy("u").agg(F.sum("n").alias("n_links"))
     roots = found.where("v IS NOT NULL AND whole").select("u", F.col("v").alias("root"))
     roots = roots.unionByName(components(found.where("v IS NOT NULL AND NOT whole")).withColumnRenamed("node", "u"))

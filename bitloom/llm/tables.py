@@ -94,20 +94,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later steps read it, whatever executors are lost, and don't compute it again."""
+    """df as a table in the shared folder: later steps read it, whatever executors are lost, and don't compute it again. It stays until forget() or discard()."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/bitloom/{uuid.uuid4().hex}/{name}.parquet"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/bitloom/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a written() table that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, file.rpartition("/")[0])
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written and not forgotten: for the end of a job, when its results are stored."""
+    _delete(spark, _own_folder(spark))
 
 
 def scan_bytes(df: DataFrame, column: str) -> int:

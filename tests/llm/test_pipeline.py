@@ -45,3 +45,19 @@ def test_repeated_and_null_ids(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a b c d e f", "x"), (1, "other words are here now", "x"), (None, "n o p q r", None), (3, "", None)]))
     items = c.benchmark_decontamination(spark, docs, BASE)
     assert items.count() == len(rows)
+
+
+def test_empty_table_goes_through_all_stages(spark, tmp_path):
+    for t in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{BASE}/{t}.parquet").limit(0 if t == "documents" else 1000).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_is_its_stages(spark, tmp_path):
+    from bitloom.llm import tables
+
+    tables.discard(spark)
+    docs = spark.read.parquet(f"{BASE}/documents.parquet")
+    for _, stage in c.STAGES[:-1]:
+        docs = stage(spark, docs, BASE)
+    assert {r.doc_id for r in c.run(spark, BASE).collect()} == {r.doc_id for r in docs.collect()}
