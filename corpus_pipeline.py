@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import best_fit_packing, decontamination, line_dedup, ngram_join, toxicity
-from bitloom.llm.tables import table, written
+from bitloom.llm.tables import forget, table, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each but the last written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir, each but the last written to the shared folder; what a stage has read goes when the next one's table is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
